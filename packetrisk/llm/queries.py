@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query -> module of this subpackage that defines it
 WHERE = {
+    "op2_winnowing": "decontamination",
+    "op5_coordinate_join": "near_duplicates",
     "op6_chat_parts": "chat",
     "op8_html_blocks": "html",
     "op9_license_index": "licenses",
+    "op10_two_stage_suffixes": "repeated_bytes",
 }
 
 
