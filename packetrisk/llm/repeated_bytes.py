@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from packetrisk.llm.store import matching, pieces, stored
 from packetrisk.llm.suffix_sort import repeats_before
@@ -248,7 +249,8 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     hit = matching(marked, spans.select(F.col("doc_id").alias("__id")), "__id").join(lists, F.col("__id") == F.col("__doc"), "left").drop("__doc")
     rest = matching(marked, spans.select(F.col("doc_id").alias("__id")), "__id", keep=False).withColumn("__spans", none)
     whole = hit.unionByName(rest).drop("__id")
-    schema = df.select(*others).schema.add("n_bytes", "long").add("n_removed", "long").add("spans", "array<struct<start:long,end:long>>").add("kept_bytes", "binary")
+    results = StructType.fromDDL("n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_bytes binary")
+    schema = StructType(df.select(*others).schema.fields + results.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
