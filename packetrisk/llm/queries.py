@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query -> module of this subpackage that defines it
 WHERE = {
+    "op1_cumulative_link": "ordinal",
     "op2_winnowing": "decontamination",
+    "op3_class_kneser_ney": "toxicity",
     "op5_coordinate_join": "near_duplicates",
     "op6_chat_parts": "chat",
+    "op7_perplexity_bands": "perplexity_rules",
     "op8_html_blocks": "html",
     "op9_license_index": "licenses",
     "op10_two_stage_suffixes": "repeated_bytes",
