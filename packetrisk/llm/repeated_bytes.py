@@ -138,12 +138,12 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 22) -> DataFrame:
             return pa.RecordBatch.from_arrays(rows, names=["bucket", "a", "c", "o", "b", "n"])
 
         for whole in batches:
-            for batch in slices(whole, "__text"):
+            for batch in slices(whole, "__text", 2 << 20):
                 ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
                 a, c, d, b, n = fragments(to_bytes(column(batch, "__text")), length, k)
                 held.append((a, c, ids[d].astype(np.int64), b, n))
                 size += len(a)
-                if size > 4_000_000:
+                if size > 1_500_000:
                     yield flush()
                     size = 0
         if size:
