@@ -72,41 +72,50 @@ class SymbolModel:
 
 
 class ClassModel:
-    """Class-conditional bigram Kneser-Ney model with backoff counts shared by the classes.
+    """Two class-conditional Kneser-Ney models over symbols with shared backoff counts.
 
-    P_c(w | v) = discounted c(v, w) / c(v) + spare_c(v) P_c(w);  P_c(w) = discounted c(w) / N_c + spare_c P(w);
-    P(w) is the share of distinct words seen before w in the whole corpus, the same for every class.
+    The orders above ``shared`` are counted per class; below them both classes back off to one
+    modified Kneser-Ney model of all texts, so an expression that is rare in a class says little.
     """
 
-    def __init__(self, words: np.ndarray, follows: np.ndarray, unigrams: np.ndarray, pairs: np.ndarray, bigrams: np.ndarray):
-        """words, pairs: sorted keys; unigrams, bigrams: counts (keys x classes); follows: shared continuation counts."""
-        self.words, self.pairs = words, pairs
-        shared = (follows + 0.5) / (follows.sum() + 0.5 * (len(words) + 1))
-        self.unseen = 0.5 / (follows.sum() + 0.5 * (len(words) + 1))
-        self.low, self.spare, self.high, self.open = [], [], [], []
-        for c in range(unigrams.shape[1]):
-            total = max(1.0, unigrams[:, c].sum())
-            left, gone = discounted(unigrams[:, c])
-            spare = max(1e-9, gone.sum() / total)
-            self.spare.append(spare)
-            self.low.append(left / total + spare * shared)
-        heads, where = np.unique(pairs >> 32, return_inverse=True) if len(pairs) else (pairs, pairs)
-        self.heads = heads
-        for c in range(unigrams.shape[1]):
-            base = lookup(words, unigrams[:, c], heads, 0.0)
-            left, gone = discounted(bigrams[:, c]) if len(pairs) else (np.zeros(0), np.zeros(0))
-            kept = np.bincount(where, bigrams[:, c], len(heads)) if len(pairs) else np.zeros(0)
-            total = np.maximum(base, kept)
-            self.open.append(np.where(total > 0, (np.bincount(where, gone, len(heads)) + total - kept) / np.maximum(total, 1), 1.0) if len(pairs) else np.zeros(0))
-            self.high.append(left / np.maximum(total[where], 1) if len(pairs) else np.zeros(0))
-
-    def log_ratio(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-        """log P_1(now | before) - log P_0(now | before)."""
-        key = (before << 32) | now
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, bits: int, shared: int):
+        """codes: sorted n-grams; counts: their counts in class 0 and 1 (two columns)."""
+        self.order, self.bits, self.shared = order, bits, shared
+        low, many = np.unique(codes & self.mask(shared + 1), return_counts=True)
+        self.below = SymbolModel(low & self.mask(shared + 1), many.astype(np.float64), shared + 1, bits)
+        self.levels: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = [[], []]
+        for level in range(shared + 1, order + 1):
+            keys, where = np.unique(codes & self.mask(level), return_inverse=True)
+            contexts, head = np.unique(keys >> bits, return_inverse=True)
+            for c in (0, 1):
+                n = np.bincount(where, counts[:, c], len(keys))
+                left, gone = discounted(n)
+                total = np.bincount(head, n)
+                spare = np.where(total > 0, np.bincount(head, gone) / np.maximum(total, 1), 1.0)
+                self.levels[c].append((keys, left / np.maximum(total[head], 1), contexts, spare))
+        self.codes = codes
+        self.ratios = self._ratio(codes).astype(np.float32)
+
+    def mask(self, level: int) -> int:
+        return (1 << (self.bits * level)) - 1
+
+    def _ratio(self, codes: np.ndarray) -> np.ndarray:
+        keys, log_p, *_ = self.below.levels[self.shared - 1]
+        base = np.exp(lookup(keys, log_p, codes & self.mask(self.shared), -2.0 * self.bits * np.log(2)))
         logs = []
         for c in (0, 1):
-            low = lookup(self.words, self.low[c], now, self.spare[c] * self.unseen)
-            high = lookup(self.pairs, self.high[c], key, 0.0)
-            spare = lookup(self.heads, self.open[c], before, 1.0)
-            logs.append(np.log(high + spare * low))
+            p = base
+            for level, (keys, high, contexts, spare) in enumerate(self.levels[c], self.shared + 1):
+                part = codes & self.mask(level)
+                p = lookup(keys, high, part, 0.0) + lookup(contexts, spare, part >> self.bits, 1.0) * p
+            logs.append(np.log(p))
         return logs[1] - logs[0]
+
+    def log_ratio(self, codes: np.ndarray) -> np.ndarray:
+        """log P_1(last symbol | those before) - log P_0(the same), for n-grams counted or not."""
+        out = lookup(self.codes, self.ratios, codes, np.float32(np.nan))
+        new = np.flatnonzero(np.isnan(out))
+        if len(new):
+            some, where = np.unique(codes[new], return_inverse=True)
+            out[new] = self._ratio(some)[where]
+        return out

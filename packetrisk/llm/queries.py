@@ -12,6 +12,7 @@ WHERE = {
     "op1_cumulative_link": "ordinal",
     "op2_winnowing": "decontamination",
     "op3_class_kneser_ney": "toxicity",
+    "op4_hilbert_packing": "packing",
     "op5_coordinate_join": "near_duplicates",
     "op6_chat_parts": "chat",
     "op7_perplexity_bands": "perplexity_rules",

@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 #: Text bytes handled at once inside a task; bounds numpy's temporaries.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _ALNUM = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -36,7 +36,7 @@ def alnum_words(text: bytes) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, filled as words are met; cleared when it is large."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
