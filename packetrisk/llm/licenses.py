@@ -53,7 +53,7 @@ SCHEMA = (
 class LicenseIndex:
     """Postings of template words by position, with the IDF measured on the scanned corpus."""
 
-    def __init__(self, df_counts: dict[bytes, int], n_docs: int, templates=TEMPLATES, phrases=BASE_PHRASES, rarest: int = 6, share: float = 0.6):
+    def __init__(self, df_counts: dict[bytes, int], n_docs: int, templates=TEMPLATES, phrases=BASE_PHRASES, rarest: int = 6, share: float = 0.5):
         self.rarest, self.share = rarest, share
         self.base = [(p.encode().split(), label) for p, label in phrases.items()]
         self.templates = [(label, [k.encode().split() for k in keys], text.encode().split()) for label, keys, text in templates]

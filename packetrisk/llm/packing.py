@@ -22,8 +22,8 @@ from packetrisk.llm.textops import column, mix, slices, to_bytes
 DIMENSIONS, LEVELS = 3, 10
 #: Documents whose points set the cells of the curve and the ranges of partitions (never which documents are packed).
 SAMPLE = 20_000
-#: Input bytes of one range.
-RANGE_BYTES = 12 << 20
+#: Bytes of text of one range.
+RANGE_BYTES = 24 << 20
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 
@@ -178,7 +178,7 @@ def pack_documents(df: DataFrame, size: int = 2048, tokenizer: str | None = None
 
         tokenizer = public_tokenizers.path(TOKENIZER)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    cuts, bounds = curve_cells(docs, pieces(df, RANGE_BYTES, 1))
+    cuts, bounds = curve_cells(docs, pieces(docs, "__text", RANGE_BYTES, 1))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

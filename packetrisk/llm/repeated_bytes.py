@@ -114,7 +114,7 @@ def _span_batch(owner, begin, end, more=None) -> pa.RecordBatch:
 
 def repeated_spans(docs: DataFrame, length: int = 50, k: int = 22) -> DataFrame:
     """(doc_id, begin, end): bytes covered by a ``length``-byte string that also starts in a smaller doc_id."""
-    buckets = pieces(docs, 4 << 20, 64)
+    buckets = pieces(docs, "__text", 8 << 20, 64)
     shift = np.uint64(32)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

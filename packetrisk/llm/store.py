@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of 64-bit ids that may be broadcast (about 100 MB as a hash relation); beyond it joins shuffle.
@@ -47,15 +47,7 @@ def matching(df: DataFrame, ids: DataFrame, key: str, keep: bool = True, limit:
     return df.join(side, F.col(key).eqNullSafe(F.col("__key")), "left_semi" if keep else "left_anti")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the input as the optimizer knows it (file sizes for tables)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def pieces(df: DataFrame, each: int, least: int = 12) -> int:
-    """Number of partitions that keeps each near ``each`` input bytes at any size of input."""
-    return max(least, min(200_000, input_bytes(df) // each))
-
-
-def text_of(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def pieces(df: DataFrame, text: str, each: int, least: int = 12) -> int:
+    """Number of partitions that keeps each near ``each`` bytes of text at any size of input (one pass over the lengths)."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(least, -(-size // each))
