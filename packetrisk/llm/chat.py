@@ -180,4 +180,4 @@ def op6_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat_digests(format_chats(rows))
+    return chat_digests(format_chats(rows)).drop("expanded_tokens")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from packetrisk.llm.oracle import ORACLE
+
 #: query -> module of this subpackage that defines it
 WHERE = {
     "op1_cumulative_link": "ordinal",
@@ -27,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
