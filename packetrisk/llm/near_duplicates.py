@@ -29,8 +29,9 @@ from packetrisk.llm.textops import WordHashes, column, hash_words, mix, signed,
 
 #: Slots of the table of posting counts (4 MB): it only sets the order from rare to common, never a result.
 SLOTS = 1 << 20
-#: Hubs of a list in one round, and rounds before the rest is paired completely.
-HUBS, ROUNDS = 4, 3
+#: Hubs of a list in one round, and rounds before the rest is paired completely; it is paired at once when
+#: that takes at most REST pairs (a pair counts in each list it shares) for each document.
+HUBS, ROUNDS, REST = 4, 3, 4
 #: Chance that a pair exactly at the threshold falls below the match threshold.
 MISS = 1e-6
 
@@ -132,7 +133,10 @@ def _slot_counts(sigs: DataFrame, n: int) -> np.ndarray:
 
 
 def _postings(sigs: DataFrame, n: int, prefix: int, counts: np.ndarray) -> DataFrame:
-    """(token, vid, n): the ``prefix`` rarest pairs of every signature; pairs that cannot occur twice are left out."""
+    """(token, vid, n, common): the ``prefix`` rarest pairs of every signature; pairs that cannot occur twice are left out.
+
+    ``common`` is higher for a signature of common values: the source of a group of copies has the group's majority values.
+    """
     shared = sigs.sparkSession.sparkContext.broadcast(counts.astype(np.int32).clip(max=2**31 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,23 +146,27 @@ def _postings(sigs: DataFrame, n: int, prefix: int, counts: np.ndarray) -> DataF
             often = counts[(pairs & np.uint64(SLOTS - 1)).astype(np.int64)]
             for a in range(0, len(pairs), 1000):
                 p, o = pairs[a : a + 1000], often[a : a + 1000]
+                common = (np.log2(1.0 + o).sum(axis=1) * 16).astype(np.int32)
                 order = np.lexsort((p, o), axis=1)[:, :prefix]
                 p, o = np.take_along_axis(p, order, 1), np.take_along_axis(o, order, 1)
                 row, col = np.nonzero(o > 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(p[row, col])), column(batch, "vid").take(pa.array(row + a)), column(batch, "n").take(pa.array(row + a))], names=["token", "vid", "n"]
+                    [pa.array(signed(p[row, col])), column(batch, "vid").take(pa.array(row + a)), column(batch, "n").take(pa.array(row + a)), pa.array(common[row])], names=["token", "vid", "n", "common"]
                 )
 
-    return sigs.select("vid", "n", "sig").mapInArrow(run, "token long, vid long, n long")
+    return sigs.select("vid", "n", "sig").mapInArrow(run, "token long, vid long, n long, common int")
 
 
 def _merge(postings: DataFrame, ratio: float, seed: int) -> DataFrame:
     """Stream sorted posting lists: (a, b, null) pairs with each list's hubs, and (null, vid, token) of long lists.
 
-    Input: token, vid, n, comp.  Members of a list come in one global pseudo-random order, so that lists of
-    the same documents have the same hubs.  State is one list's hubs.
+    Input: token, vid, n, common, comp.  Members come in one order over all lists, so that lists of the same
+    documents have the same hubs: first those of the most common values (centres of groups), in later rounds
+    a pseudo-random order.  State is one list's hubs.
     """
 
+    most = HUBS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, hubs, size = None, [], 0
         for batch in batches:
@@ -170,10 +178,10 @@ def _merge(postings: DataFrame, ratio: float, seed: int) -> DataFrame:
                     if hc != c and min(n, hn) >= ratio * max(n, hn):
                         pairs.append((h, v) if h < v else (v, h))
                 size += 1
-                if size <= HUBS:
+                if size <= most:
                     hubs.append((v, n, c))
                 else:
-                    if size == HUBS + 1:
+                    if size == most + 1:
                         rest += [(h, t) for h, _, _ in hubs]
                     rest.append((v, t))
             pairs = list(dict.fromkeys(pairs))
@@ -182,13 +190,24 @@ def _merge(postings: DataFrame, ratio: float, seed: int) -> DataFrame:
             none = [None] * len(v)
             yield pa.RecordBatch.from_arrays([pa.array([*a, *none], pa.int64()), pa.array([*b, *v], pa.int64()), pa.array([None] * len(a) + [*t], pa.int64())], names=["a", "b", "token"])
 
-    ready = postings.withColumn("__o", F.xxhash64("vid", F.lit(seed)))
-    return ready.repartition("token").sortWithinPartitions("token", "__o").select("token", "vid", "n", "comp").mapInArrow(run, "a long, b long, token long")
+    ready = postings.withColumn("__o", F.xxhash64("vid", F.lit(seed)) if seed else -F.col("common").cast("long"))
+    return ready.repartition("token").sortWithinPartitions("token", "__o", "vid").select("token", "vid", "n", "comp").mapInArrow(run, "a long, b long, token long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, n: int, least: int, num: int, den: int) -> DataFrame:
-    """Pairs with at least ``least`` equal coordinates and den * intersection >= num * union on full sets."""
-    factors = coordinate_factors(n)
+def _colliding(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) whose signatures agree in at least ``least`` coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero((x == y).sum(axis=1) >= least)))
+
+    left, right = (classes.select(F.col("vid").alias(s), F.col("sig").alias(f"s{s}")) for s in "ab")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs with den * intersection >= num * union on full sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,31 +215,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, n: int, least: int, nu
         for whole in batches:
             for batch in slices(whole, "__text"):
                 sets, bounds = shingle_sets([space_words(t.lower()) for t in to_bytes(column(batch, "__text"))], k, cache)
-                full = np.flatnonzero(np.diff(bounds))
-                sig = [s.tobytes() for s in signatures(sets, np.append(bounds[full], len(sets)), factors)] if len(full) else []
-                raw = sets.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [column(batch, "doc_id").take(pa.array(full)), pa.array(sig, pa.binary()), pa.array([raw[8 * bounds[i] : 8 * bounds[i + 1]] for i in full.tolist()], pa.binary())], names=["vid", "sig", "members"]
-                )
+                full, raw = np.flatnonzero(np.diff(bounds)), sets.tobytes()
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(pa.array(full)), pa.array([raw[8 * bounds[i] : 8 * bounds[i + 1]] for i in full.tolist()], pa.binary())], names=["vid", "members"])
 
-    sides = stored(matching(docs, ids, "doc_id").mapInArrow(sets_of, "vid long, sig binary, members binary"))
+    sides = stored(matching(docs, ids, "doc_id").mapInArrow(sets_of, "vid long, members binary"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for i, (sa, sb, ma, mb) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("sa", "sb", "ma", "mb")))):
-                if np.count_nonzero(np.frombuffer(sa, np.uint32) == np.frombuffer(sb, np.uint32)) < least:
-                    continue
-                x, y = np.frombuffer(ma, np.uint64), np.frombuffer(mb, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
+            for i, (ma, mb) in enumerate(zip(column(batch, "ma").to_pylist(), column(batch, "mb").to_pylist())):
+                both = np.sort(np.concatenate([np.frombuffer(ma, np.uint64), np.frombuffer(mb, np.uint64)]))
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 if den * common >= num * (len(both) - common):
                     good.append(i)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    left = sides.select(F.col("vid").alias("a"), F.col("sig").alias("sa"), F.col("members").alias("ma"))
-    right = sides.select(F.col("vid").alias("b"), F.col("sig").alias("sb"), F.col("members").alias("mb"))
-    return pairs.join(right, "b").join(left, "a").mapInArrow(compare, "a long, b long")
+    left, right = (sides.select(F.col("vid").alias(s), F.col("members").alias(f"m{s}")) for s in "ab")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), coordinates: int = 128, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,27 +253,30 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: tuple[int, int] = (80,
     classes = full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("vid"), F.first("sig").alias("sig"))
     classes = stored(classes)
     postings = stored(_postings(classes, coordinates, coordinates - least + 1, _slot_counts(classes, coordinates)).withColumn("comp", F.col("vid")))
-    links, now, comps = None, postings, None
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
+    links, now, comps, turn, complete = None, postings, None, 0, False
+    while True:
+        if not complete:
             merged = stored(_merge(now, ratio, turn))
             pairs = stored(merged.where("token is null").select("a", "b").distinct())
         else:
             x, y = (now.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("vid", "n", "comp"))) for s in "xy")
             near = F.least("n_x", "n_y") >= ratio * F.greatest("n_x", "n_y")
             pairs = stored(x.join(y, "token").where((F.col("vid_x") < F.col("vid_y")) & (F.col("comp_x") != F.col("comp_y")) & near).select(F.col("vid_x").alias("a"), F.col("vid_y").alias("b")).distinct())
-        found = _confirmed(pairs, docs, k, coordinates, least, num, den)
+        found = _confirmed(stored(_colliding(pairs, classes, least)), docs, k, num, den)
         links = stored(found if links is None else links.union(found))
         comps = stored(connected_components(links))
-        if turn == ROUNDS:
+        if complete:
             break
         long = merged.where("token is not null").select("token", F.col("b").alias("vid"))
         sizes = now.select("vid", "n").distinct() if turn else classes.select("vid", "n")
-        joined = stored(long.join(sizes, "vid").join(comps.withColumnRenamed("node", "vid"), "vid", "left").select("token", "vid", "n", F.coalesce("component", "vid").alias("comp")))
-        mixed = joined.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-        now = stored(joined.join(mixed, "token", "left_semi"))
-        if now.isEmpty():
+        joined = stored(long.join(sizes, "vid").join(comps.withColumnRenamed("node", "vid"), "vid", "left").select("token", "vid", "n", F.lit(0).alias("common"), F.coalesce("component", "vid").alias("comp")))
+        lists = joined.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own")).where("comps > 1")
+        lists = stored(lists.select("token", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")))
+        left = lists.agg(F.sum("pairs")).first()[0]
+        if not left:
             break
+        now, turn = joined.join(lists, "token", "left_semi"), turn + 1
+        complete = turn == ROUNDS or left <= REST * classes.count()
     member = classes.select("n", "k1", "k2", "vid").join(comps.withColumnRenamed("node", "vid"), "vid", "left").select("n", "k1", "k2", F.coalesce("component", "vid").alias("class_id"))
     out = rows.select("doc_id", "n", "k1", "k2", F.col("sig").isNotNull().alias("full")).join(member, ["n", "k1", "k2"], "left")
     component = F.when(F.col("full"), F.col("class_id")).otherwise(F.col("doc_id"))
