@@ -22,6 +22,9 @@ from packetrisk.llm.store import matching, pieces, stored
 from packetrisk.llm.suffix_sort import repeats_before
 from packetrisk.llm.textops import column, mix, slices, to_bytes
 
+#: Fragments that a task packs at once, and fragments whose suffixes are sorted at once (whole anchors): bounds of task memory.
+FRAGMENTS, COMPARED = 400_000, 25_000
+
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
 
@@ -138,12 +141,12 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 22) -> DataFrame:
             return pa.RecordBatch.from_arrays(rows, names=["bucket", "a", "c", "o", "b", "n"])
 
         for whole in batches:
-            for batch in slices(whole, "__text"):
+            for batch in slices(whole, "__text", 1 << 20):
                 ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
                 a, c, d, b, n = fragments(to_bytes(column(batch, "__text")), length, k)
                 held.append((a, c, ids[d].astype(np.int64), b, n))
                 size += len(a)
-                if size > 1_500_000:
+                if size > FRAGMENTS:
                     yield flush()
                     size = 0
         if size:
@@ -170,8 +173,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 22) -> DataFrame:
             yield _span_batch(o, b, b + n - 1 + length, [pa.array(a.view(np.int64)), pa.array(n, pa.int64())])
 
         for batch in batches:
-            cols = [column(batch, x).to_pylist() for x in ("bucket", "a", "c", "o", "b", "n")]
-            for bucket, a, c, o, b, n in zip(*cols):
+            cols = [column(batch, x) for x in ("a", "c", "o", "b", "n")]
+            for i, bucket in enumerate(column(batch, "bucket").to_pylist()):
+                a, c, o, b, n = (x[i].as_buffer() for x in cols)
                 if bucket == -1:
                     yield _span_batch(np.frombuffer(c, np.int64), np.frombuffer(o, np.int64), np.frombuffer(b, np.int64))
                     continue
@@ -218,7 +222,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 22) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(column(batch, x).to_pylist() for x in ("anchor", "doc_id", "begin", "starts", "bits"))):
-                if len(held) >= 100_000 and row[0] != held[-1][0]:
+                if len(held) >= COMPARED and row[0] != held[-1][0]:
                     yield close(held)
                     held = []
                 held.append(row)
