@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetrisk.llm.components import connected_components
-from packetrisk.llm.store import matching, stored
+from packetrisk.llm.store import matching, small_batches, stored
 from packetrisk.llm.textops import WordHashes, column, hash_words, mix, signed, slices, space_words, to_bytes, window_docs, window_hashes
 
 #: Slots of the table of posting counts (4 MB): it only sets the order from rare to common, never a result.
@@ -247,7 +247,7 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: tuple[int, int] = (80,
     num, den = threshold
     ratio = num / den
     least = match_threshold(coordinates, ratio)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("__text"))
+    docs = small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("__text"))
     rows = stored(_signature_rows(docs, k, coordinates).withColumn("sig", F.when(F.col("doc_id").isNotNull(), F.col("sig"))))
     full = rows.where("sig is not null")
     classes = full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("vid"), F.first("sig").alias("sig"))

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from packetrisk.llm.store import matching, pieces, stored
+from packetrisk.llm.store import matching, pieces, small_batches, stored
 from packetrisk.llm.suffix_sort import repeats_before
 from packetrisk.llm.textops import column, mix, slices, to_bytes
 
 #: Fragments that a task packs at once, and fragments whose suffixes are sorted at once (whole anchors): bounds of task memory.
-FRAGMENTS, COMPARED = 400_000, 25_000
+FRAGMENTS, COMPARED = 250_000, 20_000
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
@@ -141,7 +141,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 22) -> DataFrame:
             return pa.RecordBatch.from_arrays(rows, names=["bucket", "a", "c", "o", "b", "n"])
 
         for whole in batches:
-            for batch in slices(whole, "__text", 1 << 20):
+            for batch in slices(whole, "__text", 1 << 19):
                 ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
                 a, c, d, b, n = fragments(to_bytes(column(batch, "__text")), length, k)
                 held.append((a, c, ids[d].astype(np.int64), b, n))
@@ -244,7 +244,7 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     """
     added = ["n_bytes", "n_removed", "spans", "kept_bytes"]
     others = [c for c in df.columns if c not in (text, *added)]
-    rows = df.select(*others, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"))
+    rows = small_batches(df).select(*others, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"))
     docs = rows.select(F.col(id_col).cast("long").alias("doc_id"), "__text")
     spans = stored(repeated_spans(docs, length))
     lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("__spans")).withColumnRenamed("doc_id", "__doc")

@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 #: Rows of 64-bit ids that may be broadcast (about 100 MB as a hash relation); beyond it joins shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Rows of one Arrow batch of texts; the session's default of 10,000 long texts would fill a Python worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; the session's Arrow batches are lowered to BATCH_ROWS rows where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > BATCH_ROWS or int(df.sparkSession.conf.get(key)) <= 0:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where none is set (single-machine use)."""
