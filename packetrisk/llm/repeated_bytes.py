@@ -122,6 +122,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 22) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Fragments of a task, packed by bucket: bucket, anchors, contents, owners, firsts, counts; and spans settled here."""
+        pa.set_memory_pool(pa.system_memory_pool())  # freed batches go back to the system at once
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -156,6 +157,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 22) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per bucket: settled spans, and the fragments (with an anchor) whose text must be compared."""
+        pa.set_memory_pool(pa.system_memory_pool())
         now, parts = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
