@@ -1,8 +1,9 @@
 """HTML main-text extraction: flat text blocks judged by a decision tree.
 
 A page is cut into text blocks at block-level tags.  Each block is described by
-its own and its neighbours' word counts and link densities and by where it
-stands; a small decision tree, grown on the labelled table below, keeps or drops it.
+its own and its neighbours' word counts and link densities (neighbours in the same
+container only) and by where it stands; a small decision tree, grown on the labelled
+table below, keeps or drops it.
 """
 
 from __future__ import annotations
@@ -37,6 +38,16 @@ TRAINING = [
     (3, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1, 0), (5, 0.8, 4, 1.0, 6, 0.7, 0, 0, 0, 0, 0),
     (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 0.5, 0, 0, 0, 0, 0), (11, 0.9, 5, 1.0, 4, 1.0, 0, 0, 0, 0, 0),
     (6, 1.0, 33, 0.0, 5, 1.0, 0, 0, 0, 0, 0), (20, 0.7, 12, 0.6, 9, 0.8, 0, 0, 0, 0, 0), (2, 0.5, 6, 1.0, 3, 0.0, 0, 0, 0, 0, 0),
+    (52, 0.0, 40, 0.0, 6, 1.0, 1, 0, 0, 0, 1), (4, 0.0, 36, 0.0, 5, 1.0, 1, 0, 1, 0, 1), (3, 0.0, 4, 1.0, 4, 1.0, 1, 0, 0, 0, 1),
+    (6, 1.0, 5, 1.0, 7, 1.0, 1, 0, 0, 1, 1), (4, 1.0, 0, 0.0, 6, 1.0, 1, 0, 0, 1, 1), (9, 0.8, 6, 1.0, 8, 0.9, 1, 0, 0, 1, 1),
+    (44, 0.0, 30, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (28, 0.0, 3, 1.0, 5, 1.0, 0, 0, 0, 0, 1), (90, 0.05, 0, 0.0, 4, 0.8, 0, 0, 0, 0, 1),
+    (14, 0.0, 41, 0.0, 6, 1.0, 0, 0, 0, 0, 1), (8, 0.0, 26, 0.0, 4, 0.9, 0, 0, 1, 0, 1), (37, 0.2, 22, 0.0, 9, 1.0, 0, 0, 0, 1, 1),
+    (4, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 1), (11, 0.1, 0, 0.0, 13, 0.1, 0, 0, 0, 1, 1), (2, 0.0, 30, 0.0, 41, 0.0, 0, 0, 0, 0, 1),
+    (3, 1.0, 0, 0.0, 40, 0.0, 0, 0, 0, 0, 0), (5, 1.0, 45, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (7, 0.9, 33, 0.0, 52, 0.0, 0, 0, 0, 0, 0),
+    (2, 1.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1, 0), (4, 1.0, 3, 1.0, 0, 0.0, 0, 0, 0, 1, 0),
+    (16, 1.0, 20, 0.0, 24, 0.0, 0, 0, 0, 0, 0), (8, 1.0, 9, 1.0, 30, 0.0, 0, 0, 1, 0, 0), (25, 0.8, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (26, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 1), (15, 0.0, 4, 1.0, 2, 1.0, 0, 0, 0, 0, 1), (60, 0.0, 5, 1.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (12, 0.1, 6, 1.0, 3, 0.0, 0, 0, 0, 0, 1), (19, 0.0, 2, 1.0, 1, 0.0, 0, 0, 0, 1, 1), (33, 0.0, 7, 0.8, 3, 1.0, 0, 0, 0, 0, 1),
 ]
 
 #: Tags that end a text block, whole elements without main text, and containers and names of boilerplate.
@@ -44,7 +55,11 @@ BLOCK_TAGS = set("address article aside blockquote body caption center dd detail
 VOID_ELEMENTS = "head|script|style|noscript|template|iframe|object|svg|math|canvas|textarea|select|button|audio|video"
 BOILERPLATE_TAGS = set("nav header footer aside form menu dialog fieldset".split())
 BOILERPLATE_NAMES = set("ad ads adv advert advertisement advertising banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice gdpr newsletter subscribe signup login share sharing social related recommended popup modal overlay widget comment comments disqus respond replies toolbar pagination copyright disclaimer".split())
+#: Words that a class token may hold beside a name of boilerplate ("site-footer", "ad-slot").
+PLACING_WORDS = set("site page main top bottom left right global primary secondary inner outer bar box area slot block section group row col wrap wrapper container list item items link links button buttons icon icons text title body form".split())
 CONTAINERS = set("article aside body center details dialog div dl fieldset figure footer form header li main menu nav ol section table td tr ul".split())
+#: Containers that do not part a block from its neighbours (the list or table around them does).
+ITEMS = set("li td tr".split())
 
 _MARKUP = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{VOID_ELEMENTS})\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -52,7 +67,8 @@ _MARKUP = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*?display\s*:\s*none|'[^']*?display\s*:\s*none|display:none))", re.I)
+_QUOTED = re.compile(r"(?<![\w:-])(?!style\b|aria-hidden\b)[\w:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -88,9 +104,22 @@ def judge(tree, features) -> float:
     return tree
 
 
-def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
-    """(text, words, linked words, in article, in boilerplate, heading, list item) of each block in page order."""
-    blocks, run, stack = [], [], []
+def named_boilerplate(attrs: str) -> bool:
+    """Whether a class, id or role token is a name of boilerplate, or only such names and placing words together."""
+    for token in " ".join("".join(g) for g in _NAMED.findall(attrs)).lower().split():
+        parts = [n for n in re.split(r"[\W\d_]+", token) if n]
+        if not BOILERPLATE_NAMES.isdisjoint(parts) and all(n in BOILERPLATE_NAMES or n in PLACING_WORDS for n in parts):
+            return True
+    return False
+
+
+def hidden(attrs: str) -> bool:
+    return bool(_HIDDEN.search(_QUOTED.sub(" ", attrs)))
+
+
+def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool, int]]:
+    """(text, words, linked words, in article, in boilerplate, heading, list item, container) of each block in page order."""
+    blocks, run, stack, opened = [], [], [], 0
     links, at, last = 0, 0, ""
 
     def close() -> None:
@@ -100,9 +129,10 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]
             if text:
                 linked = sum(len(t.split()) for t, inside in run if inside)
                 words = len(text.split())
-                article = any(a for _, a, _ in stack)
-                boiler = any(b for _, _, b in stack)
-                blocks.append((text, words, min(words, linked), article, boiler, last in ("h1", "h2", "h3", "h4", "h5", "h6"), any(s[0] == "li" for s in stack)))
+                article = any(s[1] for s in stack)
+                boiler = any(s[2] for s in stack)
+                within = next((s[3] for s in reversed(stack) if s[0] not in ITEMS), 0)
+                blocks.append((text, words, min(words, linked), article, boiler, last in ("h1", "h2", "h3", "h4", "h5", "h6"), any(s[0] == "li" for s in stack), within))
             run = []
 
     for m in _MARKUP.finditer(page):
@@ -127,9 +157,10 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]
                             del stack[i:]
                             break
                 elif not m["attrs"].endswith("/"):
-                    names = {n for g in _NAMED.findall(m["attrs"]) for n in re.split(r"[^a-z]+", "".join(g).lower())} if m["attrs"] else ()
-                    boiler = tag in BOILERPLATE_TAGS or bool(m["attrs"]) and (not BOILERPLATE_NAMES.isdisjoint(names) or bool(_HIDDEN.search(m["attrs"])))
-                    stack.append((tag, tag in ("article", "main"), boiler and tag != "body"))
+                    main = tag in ("article", "main")
+                    boiler = tag in BOILERPLATE_TAGS or bool(m["attrs"]) and (hidden(m["attrs"]) or not main and named_boilerplate(m["attrs"]))
+                    opened += 1
+                    stack.append((tag, main, boiler and tag != "body", opened))
     if at < len(page):
         run.append((page[at:], links > 0))
     close()
@@ -140,8 +171,9 @@ def main_text(page: str, tree) -> str:
     blocks = text_blocks(page)
     side = [(w, k / w if w else 0.0) for _, w, k, *_ in blocks]
     edge, kept = (0, 0.0), []
-    for i, (text, words, _, article, boiler, heading, item) in enumerate(blocks):
-        before, after = side[i - 1] if i else edge, side[i + 1] if i + 1 < len(side) else edge
+    for i, (text, words, _, article, boiler, heading, item, within) in enumerate(blocks):
+        before = side[i - 1] if i and blocks[i - 1][-1] == within else edge
+        after = side[i + 1] if i + 1 < len(side) and blocks[i + 1][-1] == within else edge
         if judge(tree, (words, side[i][1], *before, *after, article, boiler, heading, item)) >= 0.5:
             kept.append(text)
     return "\n\n".join(kept)

@@ -287,6 +287,32 @@ def test_html(spark):
     assert html.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_blocks_beside_links():
+    tree, long = html.trained_tree(), "a last paragraph of the article with quite a few words that must be kept whole"
+    links = "".join(f"<li><a href={i}>story number {i}</a></li>" for i in range(4))
+    for after in (f"<nav><ul>{links}</ul></nav>", f"<ul class=tags>{links}</ul>", f"<div><p><a href=1>share</a></div><footer><a href=2>us</a></footer>"):
+        for open_tag, close_tag in (("<article>", "</article>"), ("<div>", "</div>")):
+            page = f"<body>{open_tag}<h1>Title of it</h1><p>{long} one</p><p>{long}</p>{close_tag}{after}</body>"
+            assert html.main_text(page, tree) == f"Title of it\n\n{long} one\n\n{long}"
+            inside = f"<body>{open_tag}<p>{long}</p>{after}{close_tag}</body>"
+            assert html.main_text(inside, tree).startswith(long)
+    listed = f"<article><h2>Sources used</h2><p>{long}</p><ul>{links}</ul></article>"
+    assert html.main_text(listed, tree) == "\n\n".join(["Sources used", long, *(f"story number {i}" for i in range(4))])
+    assert html.main_text(f"<div><p><a href=1>skip to it</a></p><p>{long}</p></div>", tree) == long
+    assert html.main_text(f"<div><p>{long}</p><p><a href=1>read on here</a></p><p>{long} two</p></div>", tree) == f"{long}\n\n{long} two"
+
+
+def test_html_names_are_whole_tokens():
+    tree, text = html.trained_tree(), "a paragraph with quite a few words that must be kept whole"
+    for attrs in ("class='layout-no-sidebar'", "class='has-comments wide'", "class='overflow-hidden'", "data-note='hidden gem'", "aria-hidden=false"):
+        assert html.main_text(f"<div {attrs}><p>{text}</p></div>", tree) == text
+    for attrs in ("class='share'", "id=main-comments class='post with-banner'", "role=main"):
+        assert html.main_text(f"<article {attrs}><p>{text}</p></article>", tree) == text
+        assert html.main_text(f"<main {attrs}><p>{text}</p></main>", tree) == text
+    for attrs in ("class='site-footer'", "class='wide sidebar'", "id='ad-slot-2'", "hidden", "style='display: none'", "aria-hidden='true'"):
+        assert html.main_text(f"<div {attrs}><p>{text}</p></div>", tree) == ""
+
+
 def test_licenses(spark, sets, odd):
     extra = [(1, "x " * 30 + "This work is licensed under the GNU General Public License, version 3."), (2, "Licensed under the Apache License, Version 2.0"), (3, "CC BY cc by"), (4, None), (5, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"), (6, "apache license")]
     table = spark.createDataFrame(extra, "doc_id long, text string")
