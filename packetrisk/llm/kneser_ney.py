@@ -7,15 +7,20 @@ import numpy as np
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from the counts of counts."""
-    n = [max(1, int(np.count_nonzero(counts == i))) for i in range(1, 5)]
+    return discounts_of([int(np.count_nonzero(counts == i)) for i in range(1, 5)])
+
+
+def discounts_of(counts_of_counts: list[int]) -> np.ndarray:
+    """The same from the numbers of n-grams counted 1, 2, 3 and 4 times."""
+    n = [max(1, c) for c in counts_of_counts]
     y = n[0] / (n[0] + 2 * n[1])
     raw = [i - (i + 1) * y * n[i] / n[i - 1] for i in (1, 2, 3)]
     return np.array([0.0, *(float(np.clip(d, 0.05, i - 0.05)) for i, d in enumerate(raw, 1))])
 
 
-def discounted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(count minus discount, discount) of each count."""
-    d = discounts(counts)[np.minimum(counts, 3).astype(np.int64)]
+def discounted(counts: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(count minus discount, discount) of each count, by the discounts of ``table`` (else those of the counts themselves)."""
+    d = (discounts(counts) if table is None else table)[np.minimum(counts, 3).astype(np.int64)]
     return counts - d, d
 
 
@@ -71,28 +76,46 @@ class SymbolModel:
         return out
 
 
+class SharedOrders:
+    """What all pieces of a class model share: the orders up to ``shared`` + 1, counted over all n-grams, and the discounts of those above.
+
+    ``keys`` are the sorted n-grams of order ``shared`` + 1, ``counts`` their counts in class 0 and 1 (two
+    columns), ``many`` the distinct n-grams of the top order that end in them.  ``tables`` maps each order above to its
+    discounts in class 0 and 1.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, many: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray]], bits: int, shared: int):
+        self.bits, self.shared, self.tables = bits, shared, tables
+        self.below = SymbolModel(keys, many.astype(np.float64), shared + 1, bits)
+        self.level = [_class_level(keys, counts[:, c], bits, discounts(counts[:, c])) for c in (0, 1)]
+
+
+def _class_level(keys: np.ndarray, n: np.ndarray, bits: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, discounted shares, contexts, spare shares) of one order in one class."""
+    contexts, head = np.unique(keys >> bits, return_inverse=True)
+    left, gone = discounted(n, table)
+    total = np.bincount(head, n)
+    spare = np.where(total > 0, np.bincount(head, gone) / np.maximum(total, 1), 1.0)
+    return keys, left / np.maximum(total[head], 1), contexts, spare
+
+
 class ClassModel:
-    """Two class-conditional Kneser-Ney models over symbols with shared backoff counts.
+    """One piece of two class-conditional Kneser-Ney models over symbols with shared backoff counts.
 
     The orders above ``shared`` are counted per class; below them both classes back off to one
     modified Kneser-Ney model of all texts, so an expression that is rare in a class says little.
+    A piece holds all n-grams of some middles (the symbols without the first and the last): the counts
+    and contexts of the two upper orders are whole in it, and the lower orders come from ``low``.
     """
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, bits: int, shared: int):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, low: SharedOrders):
         """codes: sorted n-grams; counts: their counts in class 0 and 1 (two columns)."""
-        self.order, self.bits, self.shared = order, bits, shared
-        low, many = np.unique(codes & self.mask(shared + 1), return_counts=True)
-        self.below = SymbolModel(low & self.mask(shared + 1), many.astype(np.float64), shared + 1, bits)
-        self.levels: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = [[], []]
-        for level in range(shared + 1, order + 1):
+        self.order, self.bits, self.shared, self.below = order, low.bits, low.shared, low.below
+        self.levels: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = [[low.level[0]], [low.level[1]]]
+        for level in range(self.shared + 2, order + 1):
             keys, where = np.unique(codes & self.mask(level), return_inverse=True)
-            contexts, head = np.unique(keys >> bits, return_inverse=True)
             for c in (0, 1):
-                n = np.bincount(where, counts[:, c], len(keys))
-                left, gone = discounted(n)
-                total = np.bincount(head, n)
-                spare = np.where(total > 0, np.bincount(head, gone) / np.maximum(total, 1), 1.0)
-                self.levels[c].append((keys, left / np.maximum(total[head], 1), contexts, spare))
+                self.levels[c].append(_class_level(keys, np.bincount(where, counts[:, c], len(keys)), self.bits, low.tables[level][c]))
         self.codes = codes
         self.ratios = self._ratio(codes).astype(np.float32)
 

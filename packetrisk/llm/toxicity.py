@@ -12,17 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetrisk.llm.kneser_ney import ClassModel
-from packetrisk.llm.store import BROADCAST_IDS, small
+from packetrisk.llm.kneser_ney import ClassModel, SharedOrders, discounts_of
+from packetrisk.llm.store import BROADCAST_IDS, small, stored
 from packetrisk.llm.symbols import BITS, symbol_grams
 from packetrisk.llm.textops import column, slices, to_bytes
 
 #: Orders counted per class go from SHARED + 1 to ORDER; lower ones are shared.
 ORDER, SHARED = 5, 2
-#: Distinct n-grams that a model may hold (24 MB); over it those seen least often leave the top order to backoff.
+#: Distinct n-grams of the model that a task holds at once (24 MB); a larger model is applied in several pieces, to the same scores.
 MODEL_GRAMS = 2_000_000
 #: Labelled rows of the calibration fold that fit the logistic curve.
 CALIBRATION_ROWS = 50_000
@@ -48,33 +48,96 @@ def class_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "code long, plain long, toxic long").groupBy("code").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
 
 
-def train(rows: DataFrame) -> ClassModel | None:
-    """Fit the two models on (__text, __toxic), equal texts once; None where one of the classes has no text."""
+def _mask(level: int) -> int:
+    return (1 << (BITS * level)) - 1
+
+
+def _piece(code, pieces: int):
+    """Piece of an n-gram (a number, array or column), by its symbols without the first and the last."""
+    middle = code.bitwiseAND(_mask(ORDER - 1)) if isinstance(code, Column) else code & _mask(ORDER - 1)
+    middle = F.shiftright(middle, BITS) if isinstance(code, Column) else middle >> BITS
+    return (middle * 40503 + 12345) % 65521 % pieces
+
+
+class Models:
+    """Both classes' models: all n-gram counts in a stored table, the lower orders on the driver, the rest piece by piece."""
+
+    def __init__(self, counted: DataFrame, low: SharedOrders, pieces: int):
+        self.counted, self.low, self.pieces, self.whole = counted, low, pieces, None
+
+    def piece(self, i: int):
+        """Broadcast model of the n-grams of piece ``i``."""
+        if self.whole is not None:
+            return self.whole
+        rows = self.counted if self.pieces == 1 else self.counted.where(_piece(F.col("code"), self.pieces) == i)
+        table = rows.toArrow()
+        code, plain, toxic = (table.column(c).to_numpy() for c in ("code", "plain", "toxic"))
+        order = np.argsort(code)
+        model = ClassModel(code[order], np.column_stack([plain[order], toxic[order]]).astype(np.float64), ORDER, self.low)
+        shared = self.counted.sparkSession.sparkContext.broadcast(model)
+        if self.pieces == 1:
+            self.whole = shared
+        return shared
+
+
+def train(rows: DataFrame) -> Models | None:
+    """Fit the two models on (__text, __toxic), equal texts once; None where one of the classes has no text.
+
+    Every n-gram counts.  Discounts and the orders up to SHARED + 1 (2**18 n-grams by the size of the
+    symbol set) are summed by Spark over all n-grams.
+    """
     distinct = rows.withColumn("__hash", F.xxhash64("__text")).dropDuplicates(["__hash"]).drop("__hash")
-    counted = class_counts(distinct).orderBy(F.desc(F.col("plain") + F.col("toxic")), "code").limit(MODEL_GRAMS).toArrow()
-    code, plain, toxic = (counted.column(c).to_numpy() for c in ("code", "plain", "toxic"))
+    counted = stored(class_counts(distinct))
+    both = [F.sum(c).alias(c) for c in ("plain", "toxic")]
+    table = counted.groupBy(F.col("code").bitwiseAND(_mask(SHARED + 1)).alias("code")).agg(*both, F.count("*").alias("many")).toArrow()
+    code, plain, toxic, many = (table.column(c).to_numpy() for c in ("code", "plain", "toxic", "many"))
     if not plain.sum() or not toxic.sum():
         return None
+    tables = {}
+    for level in range(SHARED + 2, ORDER + 1):
+        grams = counted if level == ORDER else counted.groupBy(F.col("code").bitwiseAND(_mask(level)).alias("code")).agg(*both)
+        seen = grams.agg(*(F.count_if(F.col(c) == i) for c in ("plain", "toxic") for i in range(1, 5))).first()
+        tables[level] = discounts_of(list(seen[:4])), discounts_of(list(seen[4:]))
     order = np.argsort(code)
-    return ClassModel(code[order], np.column_stack([plain[order], toxic[order]]).astype(np.float64), ORDER, BITS, SHARED)
+    low = SharedOrders(code[order], np.column_stack([plain[order], toxic[order]]).astype(np.float64), many[order], tables, BITS, SHARED)
+    return Models(counted, low, max(1, -(-int(many.sum()) // MODEL_GRAMS)))
+
+
+def evidence(rows: DataFrame, models: Models, keep: list[str]) -> DataFrame:
+    """``keep`` columns, n (symbols of the text) and the mean log-likelihood difference over them.
+
+    A model of several pieces passes over the texts once a piece; the pieces' sums are added by row.
+    """
+    if models.pieces == 1:
+        return _sums(rows, models, 0, keep).withColumn("evidence", F.col("sum") / F.greatest("n", F.lit(1))).drop("sum")
+    rows = stored(rows.select(*keep, "__text").withColumn("__row", F.monotonically_increasing_id()))
+    parts = None
+    for i in range(models.pieces):
+        part = stored(_sums(rows, models, i, ["__row", *keep]))
+        parts = part if parts is None else parts.union(part)
+    added = parts.groupBy("__row", *keep, "n").agg(F.sum("sum").alias("sum"))
+    return added.select(*keep, "n", (F.col("sum") / F.greatest("n", F.lit(1))).alias("evidence"))
 
 
-def evidence(rows: DataFrame, model: ClassModel, keep: list[str]) -> DataFrame:
-    """``keep`` columns, n (symbols of the text) and the mean log-likelihood difference over them."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _sums(rows: DataFrame, models: Models, piece: int, keep: list[str]) -> DataFrame:
+    """``keep`` columns, n and the summed log-likelihood difference of the n-grams of one piece."""
+    shared, pieces = models.piece(piece), models.pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
             for batch in slices(whole, "__text"):
                 codes, bounds = symbol_grams(to_bytes(column(batch, "__text")), ORDER)
-                n = np.diff(bounds)
+                n, codes = np.diff(bounds), codes.astype(np.int64)
+                ratio = np.zeros(len(codes))
+                here = slice(None) if pieces == 1 else np.flatnonzero(_piece(codes, pieces) == piece)
+                ratio[here] = model.log_ratio(codes[here])
                 sums, full = np.zeros(len(n)), np.flatnonzero(n)
                 if len(full):
-                    sums[full] = np.add.reduceat(model.log_ratio(codes.astype(np.int64)).astype(np.float64), bounds[full])
-                yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(n), pa.array(sums / np.maximum(n, 1))], names=[*keep, "n", "evidence"])
+                    sums[full] = np.add.reduceat(ratio, bounds[full])
+                yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(n), pa.array(sums)], names=[*keep, "n", "sum"])
 
-    schema = rows.select(*keep).schema.add("n", "long").add("evidence", "double")
+    schema = rows.select(*keep).schema.add("n", "long").add("sum", "double")
     return rows.select(*keep, "__text").mapInArrow(run, schema)
 
 
@@ -115,18 +178,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marks = marks.where(F.crc32(F.col("__id").cast("string")) % 5 != 0)
     marks = F.broadcast(marks) if small(marks, BROADCAST_IDS) else marks
     labelled = rows.where("__fold <> 0").join(marks, F.col("doc_id") == F.col("__id")).drop("__id")
-    model = train(labelled.where("__fold >= 2").select("__text", "__toxic"))
-    if model is None:
+    models = train(labelled.where("__fold >= 2").select("__text", "__toxic"))
+    if models is None:
         share = labelled.agg(F.avg("__toxic")).first()[0] or 0.0
         out = rows.select("doc_id", (F.col("__fold") == 0).alias("held_out"), F.lit(float(share)).alias("score"))
     else:
-        sample = evidence(labelled.where("__fold = 1").withColumn("__order", F.crc32(F.col("doc_id").cast("string"))), model, ["__order", "__toxic"])
+        sample = evidence(labelled.where("__fold = 1").withColumn("__order", F.crc32(F.col("doc_id").cast("string"))), models, ["__order", "__toxic"])
         table = sample.orderBy("__order").limit(CALIBRATION_ROWS).toArrow()
         e, n, y = (table.column(c).to_numpy().astype(np.float64) for c in ("evidence", "n", "__toxic"))
         a, b, c = (fit_curve(_design(e, n), y) if 0 < y.sum() < len(y) else np.array([-2.0, 20.0, 1.0])).tolist()
         clip = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
         z = a + b * clip(F.col("evidence"), *MEAN_RANGE) + c * clip(F.col("evidence") * F.sqrt("n"), *ROOT_RANGE)
-        out = evidence(rows, model, ["doc_id", "__fold"]).select("doc_id", (F.col("__fold") == 0).alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"))
+        out = evidence(rows, models, ["doc_id", "__fold"]).select("doc_id", (F.col("__fold") == 0).alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
