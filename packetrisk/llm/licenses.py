@@ -1,9 +1,10 @@
 """License scan: a positional index of rare license words.
 
-Template words are indexed by position.  In each text the highest-IDF license
-words that occur are looked up, their postings are intersected by relative
-position (text position minus template position), and an alignment counts when
-enough of the template's IDF weight lies on it and its mandatory phrases stand there.
+Each template's highest-IDF words are indexed by position: so many that the others
+cannot reach the needed share of its IDF weight.  In each text the indexed words are
+looked up, their postings are intersected by relative position (text position minus
+template position), and an alignment counts when enough of the template's IDF weight
+lies on it and its mandatory phrases stand there.
 """
 
 from __future__ import annotations
@@ -61,9 +62,19 @@ class LicenseIndex:
         self.idf = {w: float(np.log((1 + n_docs) / (1 + df_counts.get(w, 0)))) for w in words}
         self.weight = [sum(self.idf[w] for w in t) or 1.0 for _, _, t in self.templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        #: IDF weight of each template's words that are not indexed: less than half of the share, so no alignment that counts is missed.
+        self.rest: list[float] = []
         for t, (_, _, text) in enumerate(self.templates):
+            rest, many, indexed = self.weight[t], Counter(text), set()
+            for w in sorted(many, key=lambda w: (-self.idf[w], w)):
+                if len(indexed) >= rarest and rest < share / 2 * self.weight[t]:
+                    break
+                indexed.add(w)
+                rest -= many[w] * self.idf[w]
+            self.rest.append(rest)
             for at, w in enumerate(text):
-                self.postings[w].append((t, at))
+                if w in indexed:
+                    self.postings[w].append((t, at))
         self.heads = {p[0] for p, _ in self.base}
 
     def scan(self, words: list[bytes]) -> tuple:
@@ -82,11 +93,15 @@ class LicenseIndex:
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), best, matches
 
     def align(self, words: list[bytes], places: dict[bytes, list[int]]) -> tuple[list[dict], float]:
-        rare = sorted(places, key=lambda w: (-self.idf[w], w))[: self.rarest]
-        diagonals = Counter((t, i - at) for w in rare for t, at in self.postings.get(w, ()) for i in places[w])
+        votes, found = Counter(), defaultdict(float)
+        for w, at_text in places.items():
+            for t, at in self.postings.get(w, ()):
+                for i in at_text:
+                    votes[t, i - at] += 1
+                    found[t, i - at] += self.idf[w]
         matches, best = {}, 0.0
-        for (t, shift), votes in diagonals.items():
-            if votes < 2:
+        for (t, shift), n in votes.items():
+            if n < 2 and found[t, shift] + self.rest[t] < self.share * self.weight[t] - 1e-9:
                 continue
             label, keys, text = self.templates[t]
             there = words[max(0, shift) : shift + len(text)]
