@@ -66,6 +66,32 @@ class Forest:
         return 2.0 ** (-depth / max(1, self.trees["tree"].nunique()) / float(average_path(self.sample) or 1.0))
 
 
+def quantile(df: DataFrame, value: str, p: float, most: int = 100_000) -> float:
+    """Interpolated quantile of values in [0, 1], exact at any size: ranges of values are counted and narrowed to at most ``most`` distinct values."""
+    counts = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")).persist()
+    n = counts.agg(F.sum("c")).first()[0]
+    position = (n - 1) * p
+
+    def ranked(rank: int) -> float:
+        part, bits = counts, 0
+        while part.count() > most and bits < 48:
+            bits += 16
+            cell = F.floor(F.col("v") * float(1 << bits))
+            sizes = part.groupBy(cell.alias("cell")).agg(F.sum("c").alias("c")).toPandas().sort_values("cell")  # at most 2**16 + 1 rows
+            ends = np.cumsum(sizes["c"].to_numpy())
+            at = int(np.searchsorted(ends, rank, side="right"))
+            rank -= int(ends[at - 1]) if at else 0
+            part = part.where(cell == int(sizes["cell"].iloc[at]))
+        rows = part.toPandas().sort_values("v")
+        return float(rows["v"].iloc[int(np.searchsorted(np.cumsum(rows["c"].to_numpy()), rank, side="right"))])
+
+    lower, higher = int(np.floor(position)), int(np.ceil(position))
+    low = ranked(lower)
+    high = low if lower == higher else ranked(higher)
+    counts.unpersist()
+    return low if low == high else (higher - position) * low + (position - lower) * high
+
+
 def train_forest(training: DataFrame, key: str, trees: int = 100, contamination: float = 0.05, seed: int = 42, sample: int = 256) -> Forest:
     """Each tree takes the ``sample`` rows of the smallest hash of (key, tree): the same rows however the table is partitioned."""
     n = training.count()
@@ -85,7 +111,7 @@ def train_forest(training: DataFrame, key: str, trees: int = 100, contamination:
 
     grown = chosen.groupBy("tree").applyInPandas(build, TREES).toPandas()  # at most trees * 2 * sample nodes
     forest = Forest(grown, sample, 0.5)
-    forest.threshold = float(score(training, forest).agg(F.percentile("anomaly_score", 1 - contamination)).first()[0] if n < 10_000_000 else score(training, forest).agg(F.percentile_approx("anomaly_score", 1 - contamination)).first()[0])
+    forest.threshold = quantile(score(training, forest).select("anomaly_score"), "anomaly_score", 1 - contamination)
     return forest
 
 
