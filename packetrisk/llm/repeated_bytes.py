@@ -1,11 +1,20 @@
-"""Removal of repeated byte strings by suffix sorting.
-
-Two texts that share a 50-byte string also share its smallest k-gram hash, its
-anchor.  Strings are therefore dealt out by anchor: a fragment is the stretch of text
-whose 50-byte strings have one anchor.  Equal fragments are combined first (of a
-string in many documents, only its first document's needs a verdict); all differing
-fragments of one anchor meet in one task, where their suffixes are sorted in two
-stages and neighbours with a common prefix of 50 bytes give the repeats.
+"""Removal of repeated byte strings by two-stage suffix sorting.
+
+Two texts that share a 50-byte string also share its smallest k-gram hash, its anchor.
+A fragment is a stretch of text whose 50-byte strings have one anchor.  The work takes
+four steps:
+
+1. Equal texts (by SHA-256) are one class; of a class only the rows of its smallest id
+   take part, the others are repeats by definition.
+2. Anchors are gathered, a few bytes each, to find those that occur in two texts: no
+   string of another fragment can repeat.
+3. The fragments of those anchors are dealt out by anchor, one copy of equal bytes.
+   Their suffixes are sorted in two stages, and neighbours with a common prefix of
+   50 bytes give each start the smallest id that holds its string.
+4. The verdicts go back to all places of a fragment, and the texts are cut.
+
+An anchor with very many different fragments (a phrase in ever other surroundings) is
+dealt out string by string, keyed by the ends of the string, so that no task holds it whole.
 """
 
 from __future__ import annotations
@@ -18,20 +27,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from packetrisk.llm.store import matching, pieces, small_batches, stored
-from packetrisk.llm.suffix_sort import repeats_before
-from packetrisk.llm.textops import column, mix, slices, to_bytes
+from packetrisk.llm import suffix_sort
+from packetrisk.llm.store import discard, small, stored
+from packetrisk.llm.textops import column, mix, signed, slices, to_bytes
 
-#: Fragments that a task packs at once, and fragments whose suffixes are sorted at once (whole anchors): bounds of task memory.
-FRAGMENTS, COMPARED = 250_000, 20_000
+#: Text bytes that a task hashes at once, and fragments whose suffixes it sorts at once (whole anchors): bounds of task memory.
+BLOCK, COMPARED = 1 << 19, 6_000
+#: Text bytes of a bucket of anchors and of a chunk of texts (chunks grow beyond MOST_CHUNKS of them).
+BUCKET_BYTES, CHUNK_BYTES, MOST_CHUNKS = 8 << 20, 4 << 20, 1_000_000
+#: An anchor is dealt out string by string when its fragments show so many of the 256 values of a content byte (about 400 different fragments).
+MANY_CONTENTS = 200
 
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_U = np.uint64
+_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
+#: Bits of a position inside a block: blocks are below 2 MB.
+_PLACE = 21
+#: Bits of an anchor that travel beside its bucket.
+_KEY = 39
+MEMBER = np.dtype([("row", "<i8"), ("doc", "<i8"), ("begin", "<i4")])
 
 
 def gram_hashes(text: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k bytes from each position, by doubling."""
-    power = lambda e: np.uint64(pow(_BASE, e, 2**64))
+    power = lambda e: _U(pow(_BASE, e, 2**64))
     span, grams, out, done = 1, _TABLE[text], None, 0
     left = k
     while left:
@@ -49,212 +68,387 @@ def gram_hashes(text: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def fragments(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(anchor, content hash, text, first start, number of starts) of every fragment of the texts."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    bounds = np.zeros(len(texts) + 1, dtype=np.int64)
-    np.cumsum(sizes, out=bounds[1:])
-    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    if len(raw) < length:
-        return (*(np.empty(0, np.uint64),) * 2, *(np.empty(0, np.int64),) * 3)
-    grams = gram_hashes(raw, k)
-    bits = np.uint64(int(len(grams)).bit_length())
-    low = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
-    w, span = length - k + 1, 1
-    while span * 2 <= w:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if span < w:
-        low = np.minimum(low[: len(low) - (w - span)], low[w - span :])
-    anchor = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    doc = np.repeat(np.arange(len(texts)), sizes)[: len(anchor)]
-    inside = np.arange(len(anchor)) + length <= bounds[1:][doc]
-    start = np.flatnonzero(inside)
-    anchor, doc = anchor[start], doc[start]
-    new = np.ones(len(start), dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(start)))
-    begin, anchor, doc = start[first], anchor[first], doc[first]
-    end = begin + count - 1 + length
-    content = count.astype(np.uint64)
-    for at in (begin, np.minimum(begin + k, end - k), np.minimum(begin + 2 * k, end - k), end - k):  # k-grams that cover the fragment
-        content = mix(content * np.uint64(0x9E3779B97F4A7C15) + grams[at])
-    return grams[anchor], content, doc, begin - bounds[doc], count
+class Fragments:
+    """The fragments of some texts: anchor, content (hash), text, begin (in all texts' bytes ``raw``) and count of starts of each."""
+
+    def __init__(self, texts: list[bytes], length: int, k: int):
+        self.length, self.k = length, k
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.bounds = np.append(0, np.cumsum(sizes))
+        self.raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        if len(self.raw) < length:
+            self.grams = self.anchor = self.content = np.empty(0, np.uint64)
+            self.text = self.begin = self.count = np.empty(0, np.int64)
+            return
+        self.grams = grams = gram_hashes(self.raw, k)
+        low = (grams >> _U(_PLACE) << _U(_PLACE)) | np.arange(len(grams), dtype=np.uint64)
+        w, span = length - k + 1, 1
+        while span * 2 <= w:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        if span < w:
+            low = np.minimum(low[: len(low) - (w - span)], low[w - span :])
+        place = (low & _U((1 << _PLACE) - 1)).astype(np.int64)
+        text = np.repeat(np.arange(len(texts)), sizes)[: len(place)]
+        start = np.flatnonzero(np.arange(len(place)) + length <= self.bounds[1:][text])
+        place, text = place[start], text[start]
+        new = np.ones(len(start), dtype=bool)
+        new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(new)
+        self.count = np.diff(np.append(first, len(start)))
+        self.begin, self.text = start[first], text[first]
+        self.anchor = mix(grams[place[first]] ^ _U(0x5851F42D4C957F2D))
+        self.content = self.contents(self.begin, self.count)
+
+    def contents(self, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Hash of the bytes of fragments, from k-grams that cover them."""
+        last = begin + count - 1 + self.length - self.k
+        out = count.astype(np.uint64)
+        for i in range(-(-(2 * self.length - self.k) // self.k)):
+            out = mix(out * _U(0x9E3779B97F4A7C15) + self.grams[np.minimum(begin + i * self.k, last)])
+        return out
+
+    def taken(self, which: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(anchor, content, text, begin, count) of chosen fragments; those marked ``apart`` string by string.
+
+        Equal strings have equal ends, so they still meet under the key of their ends.
+        """
+        whole, split = which[~apart], which[apart]
+        many = self.count[split]
+        begin = np.repeat(self.begin[split], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        one = np.ones(len(begin), dtype=np.int64)
+        ends = self.grams[begin] * _U(0xD6E8FEB86659FD93) + self.grams[begin + self.length - self.k]
+        anchor = mix(np.repeat(self.anchor[split], many) + mix(ends))
+        parts = (self.anchor, anchor), (self.content, self.contents(begin, one)), (self.text, np.repeat(self.text[split], many)), (self.begin, begin), (self.count, one)
+        return tuple(np.concatenate([a[whole], b]) for a, b in parts)
+
+
+def blocks(texts: list[bytes], length: int, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(text, offset, bytes) of consecutive parts that hold about ``limit`` bytes; parts of a long text overlap by length - 1."""
+    limit = limit or BLOCK
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - length + 1), limit):
+            held.append((i, at, t[at : at + limit + length - 1]))
+            size += len(held[-1][2])
+            if size >= limit:
+                yield tuple(zip(*held))
+                held, size = [], 0
+    if held:
+        yield tuple(zip(*held))
+
+
+def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    return (anchor >> _U(32)) * _U(buckets) >> _U(32)
+
+
+def _groups(sorted_keys: np.ndarray) -> np.ndarray:
+    """First place of each run of equal keys."""
+    return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.empty(0, np.int64)
+
+
+def _lengths(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(first, n))
+
+
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """Numbers as rows of their ``width`` low bytes."""
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _unpacked(blob: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _marks(keys: np.ndarray, part: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys (anchor bits above one content byte), and whether the anchor occurs in two texts: in two parts, or marked before."""
+    order = np.argsort(keys, kind="stable")
+    keys, part, two = keys[order], part[order], two[order]
+    first = _groups(keys >> _U(8))
+    several = (np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)) | np.logical_or.reduceat(two, first) if len(first) else two
+    two = np.repeat(several, _lengths(first, len(keys)))
+    one = _groups(keys)
+    return keys[one], two[one]
+
+
+def shared_anchors(texts: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
+    """(__chunk, bucket, reply): for each chunk of texts its anchors that also occur in another text.
+
+    A chunk sends six bytes for each of its anchors and content bytes; a reply has five for each anchor
+    found.  Truncation can only name an anchor too many, never lose one.
+    """
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # freed batches go back to the system at once
+        now, held = None, []
 
-def _first_owners(anchor: np.ndarray, content: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (anchor, content, owner), and for each in that order whether a smaller owner has the same fragment."""
-    order = np.lexsort((owner, content, anchor))
-    a, c, o = anchor[order], content[order], owner[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-    return order, o > o[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        def flush() -> pa.RecordBatch:
+            keys, two = _marks(np.concatenate([h[0] for h in held]), np.repeat(np.arange(len(held)), [len(h[0]) for h in held]), np.concatenate([h[1] for h in held]))
+            held.clear()
+            bucket = _bucket(keys, buckets)
+            ids, cut = np.unique(bucket, return_index=True)
+            rows = _packed((keys >> _U(8) & _U((1 << _KEY) - 1)) << _U(9) | (keys & _U(255)) << _U(1) | two.astype(np.uint64), 6)
+            blobs = [rows[p:q].tobytes() for p, q in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)])]
+            return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array([now] * len(ids), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "__chunk", "anchors"])
 
+        for batch in batches:
+            chunks, all_texts = column(batch, "__chunk").to_numpy(), to_bytes(column(batch, "__text"))
+            for a, n in zip((edges := _groups(chunks)).tolist(), _lengths(edges, len(chunks)).tolist()):
+                if held and now != chunks[a]:
+                    yield flush()
+                now = int(chunks[a])
+                for which, _, parts in blocks(all_texts[a : a + n], length):
+                    found = Fragments(list(parts), length, k)
+                    keys = found.anchor >> _U(8) << _U(8) | found.content & _U(255)
+                    held.append(_marks(keys, np.array(which)[found.text], np.zeros(len(keys), dtype=bool)))
+        if held:
+            yield flush()
 
-def _spans(owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans joined where they touch within an owner."""
-    order = np.lexsort((begin, owner))
-    owner, begin, end = owner[order], begin[order], end[order]
-    if not len(owner):
-        return owner, begin, end
-    far = np.zeros(len(owner), dtype=np.int64)
-    edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    lift = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(owner)))) * (int(end.max()) + 1)
-    far = np.maximum.accumulate(end + lift) - lift  # running end within the owner
-    new = np.ones(len(owner), dtype=bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (begin[1:] > far[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(owner)) - 1
-    return owner[first], begin[first], far[last]
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        now, chunks, blobs = None, [], []
+
+        def close() -> pa.RecordBatch:
+            values = [_unpacked(b, 6) for b in blobs]
+            who = np.repeat(np.array(chunks, dtype=np.int64), [len(v) for v in values])
+            values = np.concatenate(values)
+            order = np.argsort(values, kind="stable")
+            values, who = values[order], who[order]
+            first = _groups(values >> _U(9))
+            size = _lengths(first, len(values))
+            two = (np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)) | (np.bitwise_or.reduceat(values, first) & _U(1) > 0)
+            contents = np.add.reduceat(np.append(True, values[1:] >> _U(1) != values[:-1] >> _U(1)).astype(np.int64), first)
+            reply = (values >> _U(9) << _U(1)) | np.repeat(contents >= MANY_CONTENTS, size)
+            here = np.repeat(two, size)
+            reply, who = reply[here], who[here]
+            order = np.argsort(who, kind="stable")
+            reply, who = reply[order], who[order]
+            new = np.append(True, (reply[1:] != reply[:-1]) | (who[1:] != who[:-1]))[: len(who)]
+            reply, who = reply[new], who[new]
+            edge = _groups(who)
+            rows = _packed(reply, 5)
+            out = [rows[p : p + n].tobytes() for p, n in zip(edge.tolist(), _lengths(edge, len(who)).tolist())]
+            chunks.clear(), blobs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(who[edge]), pa.array([now] * len(edge), pa.int64()), pa.array(out, pa.binary())], names=["__chunk", "bucket", "reply"])
 
+        for batch in batches:
+            for bucket, chunk, blob in zip(column(batch, "bucket").to_pylist(), column(batch, "__chunk").to_pylist(), column(batch, "anchors").to_pylist()):
+                if blobs and bucket != now:
+                    yield close()
+                now = bucket
+                chunks.append(chunk), blobs.append(blob)
+        if blobs:
+            yield close()
 
-def _span_batch(owner, begin, end, more=None) -> pa.RecordBatch:
-    cols = [pa.array(owner, pa.int64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())]
-    extra = more or [pa.nulls(len(owner), pa.int64())] * 2
-    return pa.RecordBatch.from_arrays([*cols, *extra], names=["doc_id", "begin", "end", "anchor", "starts"])
+    sent = texts.select("__chunk", "__text").mapInArrow(deal, "bucket long, __chunk long, anchors binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "__chunk long, bucket long, reply binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, k: int = 22) -> DataFrame:
-    """(doc_id, begin, end): bytes covered by a ``length``-byte string that also starts in a smaller doc_id."""
-    buckets = pieces(docs, "__text", 8 << 20, 64)
-    shift = np.uint64(32)
+def _ragged(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Binary Arrow column of raw[begin : begin + size] for each row."""
+    offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+    at = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[at]))])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Fragments of a task, packed by bucket: bucket, anchors, contents, owners, firsts, counts; and spans settled here."""
-        pa.set_memory_pool(pa.system_memory_pool())  # freed batches go back to the system at once
-        held, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            a, c, o, b, n = (np.concatenate(x) for x in zip(*held))
-            order, later = _first_owners(a, c, o)
-            a, c, o, b, n = (x[order] for x in (a, c, o, b, n))
-            so, sb, se = _spans(o[later], b[later], b[later] + n[later] - 1 + length)
-            a, c, o, b, n = (x[~later] for x in (a, c, o, b, n))
-            bucket = ((a >> shift) * np.uint64(buckets) >> shift).astype(np.int64)  # rises with the anchor
-            ids, cut = np.unique(bucket, return_index=True)
-            edges = [*cut.tolist(), len(a)]
-            blobs = [[x[p:q].tobytes() for p, q in zip(edges, edges[1:])] for x in (a, c, o, b.astype(np.uint32), n.astype(np.uint8))]
-            spans = [None, so.tobytes(), sb.tobytes(), se.tobytes()] if len(so) else None
-            rows = [pa.array([*ids.tolist(), -1] if spans else ids.tolist(), pa.int64())]
-            rows += [pa.array([*x, y] if spans else x, pa.binary()) for x, y in zip(blobs, (*(spans or ()), None))] if spans else [pa.array(x, pa.binary()) for x in blobs]
-            held.clear()
-            return pa.RecordBatch.from_arrays(rows, names=["bucket", "a", "c", "o", "b", "n"])
-
-        for whole in batches:
-            for batch in slices(whole, "__text", 1 << 19):
-                ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
-                a, c, d, b, n = fragments(to_bytes(column(batch, "__text")), length, k)
-                held.append((a, c, ids[d].astype(np.int64), b, n))
-                size += len(a)
-                if size > FRAGMENTS:
-                    yield flush()
-                    size = 0
-        if size:
-            yield flush()
+def shared_fragments(texts: DataFrame, replies: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
+    """(anchor, content, least, bits, members): the fragments of shared anchors, equal ones of a block once.
 
-    dealt = docs.where("doc_id is not null").mapInArrow(deal, "bucket long, a binary, c binary, o binary, b binary, n binary")
+    ``least`` is the smallest id among the members (packed rows of MEMBER).
+    """
+    spark = texts.sparkSession
+    none = F.lit(None)
+    rows = texts.select("__chunk", F.lit(1).alias("kind"), none.cast("long").alias("bucket"), "__row", "__doc", "__text")
+    rows = rows.unionByName(replies.select("__chunk", F.lit(0).alias("kind"), "bucket", none.cast("long").alias("__row"), none.cast("long").alias("__doc"), F.col("reply").alias("__text")))
+    names = ["anchor", "content", "least", "bits", "members"]
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per bucket: settled spans, and the fragments (with an anchor) whose text must be compared."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
-        now, parts = None, []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            a, c, o, b, n = (np.concatenate(x) for x in zip(*parts))
-            parts.clear()
-            order, later = _first_owners(a, c, o)
-            a, c, o, b, n = (x[order] for x in (a, c, o, b, n))
-            yield _span_batch(o[later], b[later], b[later] + n[later] - 1 + length)
-            a, c, o, b, n = (x[~later] for x in (a, c, o, b, n))
-            edge = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            differ = np.minimum.reduceat(c, edge) != np.maximum.reduceat(c, edge)
-            differ &= np.minimum.reduceat(o, edge) != np.maximum.reduceat(o, edge)
-            ask = np.repeat(differ, np.diff(np.append(edge, len(a))))
-            a, o, b, n = (x[ask] for x in (a, o, b, n))
-            yield _span_batch(o, b, b + n - 1 + length, [pa.array(a.view(np.int64)), pa.array(n, pa.int64())])
+        now, told, known, apart = None, [], np.empty(0, np.uint64), np.empty(0, bool)
+
+        def fragments_of(ids: np.ndarray, docs: np.ndarray, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
+            for which, offset, parts in blocks(bodies, length):
+                which, offset, found = np.array(which), np.array(offset), Fragments(list(parts), length, k)
+                code = _bucket(found.anchor, buckets) << _U(_KEY) | found.anchor >> _U(8) & _U((1 << _KEY) - 1)
+                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                here = np.flatnonzero(known[at] == code)
+                if not len(here):
+                    continue
+                anchor, content, text, begin, count = found.taken(here, apart[at[here]])
+                order = np.lexsort((begin, content, anchor))
+                anchor, content, text, begin, count = (x[order] for x in (anchor, content, text, begin, count))
+                first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])))
+                member = np.empty(len(order), dtype=MEMBER)
+                member["row"], member["doc"] = ids[which[text]], docs[which[text]]
+                member["begin"] = begin - found.bounds[text] + offset[text]
+                size = _lengths(first, len(order))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(signed(anchor[first])), pa.array(signed(content[first])), pa.array(np.minimum.reduceat(member["doc"].astype(np.int64), first)),
+                        _ragged(found.raw, begin[first], count[first] - 1 + length),
+                        pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.append(0, np.cumsum(size)) * MEMBER.itemsize).astype(np.int32)), pa.py_buffer(member.tobytes())]),
+                    ],
+                    names=names,
+                )
 
         for batch in batches:
-            cols = [column(batch, x) for x in ("a", "c", "o", "b", "n")]
-            for i, bucket in enumerate(column(batch, "bucket").to_pylist()):
-                a, c, o, b, n = (x[i].as_buffer() for x in cols)
-                if bucket == -1:
-                    yield _span_batch(np.frombuffer(c, np.int64), np.frombuffer(o, np.int64), np.frombuffer(b, np.int64))
+            chunks, kinds = column(batch, "__chunk").to_numpy(), column(batch, "kind").to_numpy()
+            ids, docs = (column(batch, c).fill_null(0).to_numpy() for c in ("__row", "__doc"))
+            bodies, where = to_bytes(column(batch, "__text")), column(batch, "bucket").to_pylist()
+            edges = _groups(chunks * 2 + kinds)
+            for a, n in zip(edges.tolist(), _lengths(edges, len(chunks)).tolist()):
+                if chunks[a] != now:
+                    now, told, known = int(chunks[a]), [], known[:0]
+                if kinds[a] == 0:
+                    told += [(_U(b) << _U(_KEY + 1)) | _unpacked(x, 5) for b, x in zip(where[a : a + n], bodies[a : a + n])]
                     continue
-                if parts and bucket != now:
-                    yield from close()
-                now = bucket
-                parts.append((np.frombuffer(a, np.uint64), np.frombuffer(c, np.uint64), np.frombuffer(o, np.int64), np.frombuffer(b, np.uint32).astype(np.int64), np.frombuffer(n, np.uint8).astype(np.int64)))
-        if parts:
-            yield from close()
-
-    salted = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.monotonically_increasing_id())
-    schema = "doc_id long, begin long, end long, anchor long, starts long"
-    met = dealt.withColumn("__key", salted).repartition("__key").sortWithinPartitions("bucket").drop("__key").mapInArrow(meet, schema)
-    met = stored(met)
-    settled, asked = met.where("anchor is null").select("doc_id", "begin", "end"), met.where("anchor is not null")
-
-    lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "anchor", "starts")).alias("asks"))
-    source = matching(docs, asked, "doc_id").join(lists, "doc_id")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "__text"):
-                ids, begins, anchors, starts, bits = [], [], [], [], []
-                for i, t, asks in zip(column(batch, "doc_id").to_pylist(), to_bytes(column(batch, "__text")), column(batch, "asks").to_pylist()):
-                    for x in asks:
-                        if x["end"] <= len(t):
-                            ids.append(i), begins.append(x["begin"]), anchors.append(x["anchor"]), starts.append(x["starts"]), bits.append(t[x["begin"] : x["end"]])
-                yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(ids, pa.int64()), pa.array(begins, pa.int64()), pa.array(starts, pa.int64()), pa.array(bits, pa.binary())], names=["anchor", "doc_id", "begin", "starts", "bits"])
-
-    pieces_of = source.mapInArrow(cut, "anchor long, doc_id long, begin long, starts long, bits binary")
+                if told:
+                    known = np.sort(np.concatenate(told))
+                    apart, known, told = known & _U(1) > 0, known >> _U(1), []
+                if len(known):
+                    yield from fragments_of(ids[a : a + n], docs[a : a + n], bodies[a : a + n])
+
+    dealt = rows.repartition("__chunk").sortWithinPartitions("__chunk", "kind")
+    return dealt.mapInArrow(spread, "anchor long, content long, least long, bits binary, members binary")
+
+
+def verdicts(units: DataFrame, length: int) -> DataFrame:
+    """(anchor, content, least, placed, repeated) of each distinct fragment, from the suffix sort.
+
+    Bit i of ``placed`` says that the sort has placed start i, bit i of ``repeated`` that the string there
+    also starts in an id smaller than ``least``.
+    """
+    names = ["anchor", "content", "least", "placed", "repeated"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sort the suffixes of many anchors' fragments at once: fragments of different anchors share no whole string."""
-        held: list[tuple] = []
+        pa.set_memory_pool(pa.system_memory_pool())
+        held: list[list] = []  # distinct fragments: anchor, content, least, bits
 
-        def close(rows: list[tuple]) -> pa.RecordBatch:
-            _, ids, begins, starts, bits = zip(*rows)
+        def close(rows: list[list]) -> pa.RecordBatch:
+            anchor, content, least, bits = zip(*rows)
             size = np.array([len(x) for x in bits])
             end = np.cumsum(size)
-            found = repeats_before(np.frombuffer(b"".join(bits), np.uint8), end - size, end, np.array(starts), np.array(ids), length)
-            row = np.searchsorted(end, found, side="right")
-            at = np.array(begins)[row] + found - (end - size)[row]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _spans(np.array(ids)[row], at, at + length)], names=["doc_id", "begin", "end"])
+            begin, owner = end - size, np.array(least, dtype=np.int64)
+            at, smallest = suffix_sort.least_owners(np.frombuffer(b"".join(bits), np.uint8), begin, end, size - length + 1, owner, length)
+            row = np.searchsorted(end, at, side="right")
+            bit = _U(1) << (at - begin[row]).astype(np.uint64)
+            placed, repeated = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
+            np.bitwise_or.at(placed, row, bit)
+            earlier = smallest < owner[row]
+            np.bitwise_or.at(repeated, row[earlier], bit[earlier])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (anchor, content, owner, signed(placed), signed(repeated))], names=names)
 
         for batch in batches:
-            for row in zip(*(column(batch, x).to_pylist() for x in ("anchor", "doc_id", "begin", "starts", "bits"))):
-                if len(held) >= COMPARED and row[0] != held[-1][0]:
+            for row in zip(*(column(batch, x).to_pylist() for x in names[:3]), column(batch, "bits").to_pylist()):
+                last = held[-1] if held else None
+                if last is not None and row[0] == last[0] and row[1] == last[1] and row[3] == last[3]:
+                    last[2] = min(last[2], row[2])
+                    continue
+                if len(held) >= COMPARED and row[0] != last[0]:
                     yield close(held)
                     held = []
-                held.append(row)
+                held.append(list(row))
         if held:
             yield close(held)
 
-    compared = pieces_of.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "doc_id long, begin long, end long")
-    return settled.unionByName(compared)
+    dealt = units.select("anchor", "content", "least", "bits").repartition("anchor").sortWithinPartitions("anchor", "content")
+    return dealt.mapInArrow(compare, "anchor long, content long, least long, placed long, repeated long")
+
+
+def _spans(owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans joined where they touch within an owner."""
+    order = np.lexsort((begin, owner))
+    owner, begin, end = owner[order], begin[order], end[order]
+    if not len(owner):
+        return owner, begin, end
+    edge = _groups(owner)
+    lift = np.repeat(np.arange(len(edge)), _lengths(edge, len(owner))) * (int(end.max()) + 1)
+    far = np.maximum.accumulate(end + lift) - lift  # running end within the owner
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (begin[1:] > far[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(owner)) - 1
+    return owner[first], begin[first], far[last]
 
 
-def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(units: DataFrame, judged: DataFrame, length: int) -> DataFrame:
+    """(__row, __cuts): the repeated spans of each row that has some, packed as pairs of 64-bit numbers."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least, placed, repeated = (column(batch, c).to_numpy() for c in ("least", "placed", "repeated"))
+            blobs = column(batch, "members").to_pylist()
+            many = np.array([len(b) // MEMBER.itemsize for b in blobs], dtype=np.int64)
+            member = np.frombuffer(b"".join(blobs), dtype=MEMBER)
+            least, placed, repeated = (np.repeat(x, many) for x in (least, placed, repeated))
+            bits = np.where(member["doc"] > least, placed, repeated).view(np.uint64)
+            row, begin = member["row"].astype(np.int64), member["begin"].astype(np.int64)
+            run = (bits != 0) & (bits & (bits + _U(1)) == 0)  # starts 0 to n - 1
+            n = np.bitwise_count(bits[run]).astype(np.int64)
+            rest = np.flatnonzero((bits != 0) & ~run)
+            at, step = np.nonzero((bits[rest, None] >> np.arange(length, dtype=np.uint64)) & _U(1))
+            single = begin[rest][at] + step
+            spans = _spans(np.append(row[run], row[rest][at]), np.append(begin[run], single), np.append(begin[run] + n - 1 + length, single + length))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in spans], names=["__row", "begin", "end"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = tuple(np.empty(0, np.int64) for _ in range(3))
+
+        def close(owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+            owner, begin, end = _spans(owner, begin, end)
+            edge = _groups(owner)
+            pairs = np.column_stack([begin, end]).astype("<i8")
+            cuts = [pairs[p : p + n].tobytes() for p, n in zip(edge.tolist(), _lengths(edge, len(owner)).tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(owner[edge]), pa.array(cuts, pa.binary())], names=["__row", "__cuts"])
+
+        for batch in batches:
+            cols = tuple(np.append(c, column(batch, x).to_numpy()) for c, x in zip(carry, ("__row", "begin", "end")))
+            if not len(cols[0]):
+                continue
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            carry = _spans(*(c[last:] for c in cols))
+            if last:
+                yield close(*(c[:last] for c in cols))
+        if len(carry[0]):
+            yield close(*carry)
+
+    joined = units.select("anchor", "content", "members").join(judged, ["anchor", "content"])
+    spans = joined.select("least", "placed", "repeated", "members").mapInArrow(mark, "__row long, begin long, end long")
+    return spans.repartition("__row").sortWithinPartitions("__row").mapInArrow(gather, "__row long, __cuts binary")
+
+
+def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text: str = "text", k: int = 16) -> DataFrame:
     """``df`` with its text (as bytes) cut, and spans: columns of ``df``, then n_bytes, n_removed, spans, kept_bytes.
 
     A byte goes when a ``length``-byte string over it also starts in a row of a smaller id; strings are
     judged on the input, overlaps count, matches never cross documents.  A null text counts as empty; texts
     shorter than ``length`` are left alone; rows with a null id are left alone and nothing is compared with
-    them; rows with an equal id do not remove each other's strings.  Columns named like the results are
-    replaced; an empty table gives no rows.
+    them; rows with an equal id, whatever their texts, do not remove each other's strings, and each is cut on
+    its own.  Columns named like the results are replaced; an empty table gives no rows.
     """
     added = ["n_bytes", "n_removed", "spans", "kept_bytes"]
     others = [c for c in df.columns if c not in (text, *added)]
-    rows = small_batches(df).select(*others, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"))
-    docs = rows.select(F.col(id_col).cast("long").alias("doc_id"), "__text")
-    spans = stored(repeated_spans(docs, length))
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("__spans")).withColumnRenamed("doc_id", "__doc")
-    none = F.lit(None).cast(lists.schema["__spans"].dataType)
-    marked = rows.withColumn("__id", F.col(id_col).cast("long"))
-    hit = matching(marked, spans.select(F.col("doc_id").alias("__id")), "__id").join(lists, F.col("__id") == F.col("__doc"), "left").drop("__doc")
-    rest = matching(marked, spans.select(F.col("doc_id").alias("__id")), "__id", keep=False).withColumn("__spans", none)
-    whole = hit.unionByName(rest).drop("__id")
+    rows = df.select(*others, F.col(id_col).cast("long").alias("__doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"))
+    rows = rows.withColumn("__sha", F.unhex(F.sha2("__text", 256)))
+    size = rows.agg(F.sum(F.octet_length("__text")).alias("bytes"), F.count("*").alias("rows")).first()
+    total = size["bytes"] or 0
+    buckets, chunks = max(64, -(-total // BUCKET_BYTES)), min(MOST_CHUNKS, max(1, total // CHUNK_BYTES))
+    copies = rows.where("__doc is not null").groupBy("__sha").agg(F.min("__doc").alias("__least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = stored(copies)
+    rows = rows.join(F.broadcast(copies) if small(copies) else copies, "__sha", "left").drop("__sha")
+    rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    keyed = stored(rows.withColumn("__chunk", F.floor(F.col("__row") / max(1, size["rows"] // chunks))))
+    first = keyed.where(F.col("__doc").isNotNull() & (F.coalesce("__least", "__doc") == F.col("__doc")))
+    texts = first.where(F.octet_length("__text") >= length).select("__chunk", "__row", "__doc", "__text")
+    replies = stored(shared_anchors(texts, length, k, buckets))
+    units = stored(shared_fragments(texts, replies, length, k, buckets))
+    discard(copies, replies)
+    judged = stored(verdicts(units, length))
+    cuts = stored(repeated_spans(units, judged, length))
+    discard(units, judged)
+    whole = keyed.withColumn("__copy", F.coalesce(F.col("__doc") > F.col("__least"), F.lit(False))).join(cuts, "__row", "left")
     results = StructType.fromDDL("n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_bytes binary")
     schema = StructType(df.select(*others).schema.fields + results.fields)
 
@@ -262,21 +456,18 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
         pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for big in batches:
             for batch in slices(big, "__text"):
-                size, gone, cuts, kept = [], [], [], []
-                for t, found in zip(to_bytes(column(batch, "__text")), column(batch, "__spans").to_pylist()):
-                    b = np.array([x["begin"] for x in found or ()], dtype=np.int64)
-                    e = np.minimum(np.array([x["end"] for x in found or ()], dtype=np.int64), len(t))
-                    good = b < e
-                    _, b, e = _spans(np.zeros(good.sum(), np.int64), b[good], e[good])
-                    edges = [0, *np.column_stack([b, e]).ravel().tolist(), len(t)]
-                    size.append(len(t))
-                    gone.append(int((e - b).sum()))
-                    cuts.append([{"start": x, "end": y} for x, y in zip(b.tolist(), e.tolist())])
+                sizes, gone, spans, kept = [], [], [], []
+                for t, copy, found in zip(to_bytes(column(batch, "__text")), column(batch, "__copy").to_pylist(), column(batch, "__cuts").to_pylist()):
+                    cut = [(0, len(t))] if copy and len(t) >= length else np.frombuffer(found or b"", "<i8").reshape(-1, 2).tolist()
+                    edges = [0, *(x for pair in cut for x in pair), len(t)]
+                    sizes.append(len(t))
+                    gone.append(sum(y - x for x, y in cut))
+                    spans.append([{"start": x, "end": y} for x, y in cut])
                     kept.append(b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2])))
-                arrays = [column(batch, c) for c in others] + [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, pair), pa.array(kept, pa.binary())]
+                arrays = [column(batch, c) for c in others] + [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pair), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*others, *added])
 
-    return whole.select(*others, "__text", "__spans").mapInArrow(run, schema)
+    return whole.select(*others, "__text", "__copy", "__cuts").mapInArrow(run, schema)
 
 
 def op10_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

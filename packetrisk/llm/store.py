@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,39 +13,68 @@ from pyspark.sql import functions as F
 #: Rows of 64-bit ids that may be broadcast (about 100 MB as a hash relation); beyond it joins shuffle.
 BROADCAST_IDS = 1_000_000
 
-#: Rows of one Arrow batch of texts; the session's default of 10,000 long texts would fill a Python worker.
-BATCH_ROWS = 1_000
+#: Settings that hold while a table is written: Arrow batches small enough for a Python worker whatever the texts,
+#: and shuffle files of the write removed with its end (the table is then the only copy that is needed).
+WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; the session's Arrow batches are lowered to BATCH_ROWS rows where they are larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > BATCH_ROWS or int(df.sparkSession.conf.get(key)) <= 0:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block only."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (single-machine use)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only on a local master, an error on a cluster without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        folder = tempfile.mkdtemp(prefix="corpus-")
-        spark.sparkContext.setCheckpointDir(folder)
+    if folder:
+        return folder
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="corpus-")
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, WRITING):
+        df.write.option("compression", "zstd").parquet(path)
+    target, system = _file_system(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corpus_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``stored`` that no result reads any more."""
+    for table in tables:
+        path = getattr(table, "_corpus_path", None) if table is not None else None
+        if path:
+            target, system = _file_system(table.sparkSession, path)
+            system.delete(target, True)
 
 
 def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> bool:

@@ -112,16 +112,15 @@ def sort_starts(text: np.ndarray, begin: np.ndarray, end: np.ndarray, count: np.
     return order - (np.searchsorted(b, order, side="right") - 1)
 
 
-def repeats_before(text: np.ndarray, begin: np.ndarray, end: np.ndarray, count: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-    """Starts (positions in ``text``) whose ``length`` bytes also start in a string of a smaller owner.
+def least_owners(text: np.ndarray, begin: np.ndarray, end: np.ndarray, count: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts (positions in ``text``) in sorted order, and for each the smallest owner of a string that starts with its ``length`` bytes.
 
     Every start asked for must have ``length`` bytes left in its string.
     """
     order = sort_starts(text, begin, end, count, length)
     if not len(order):
-        return order
-    whole = np.full(len(order), len(text))
-    keys = _keys(text, order, whole, length)
+        return order, owner[:0]
+    keys = _keys(text, order, np.full(len(order), len(text)), length)
     new = np.ones(len(order), dtype=bool)
     new[1:] = False
     for k in keys:  # common prefix of neighbours below ``length``
@@ -129,4 +128,11 @@ def repeats_before(text: np.ndarray, begin: np.ndarray, end: np.ndarray, count:
     who = owner[np.searchsorted(begin, order, side="right") - 1]
     starts = np.flatnonzero(new)
     least = np.minimum.reduceat(who, starts)
-    return np.sort(order[who > np.repeat(least, np.diff(np.append(starts, len(order))))])
+    return order, np.repeat(least, np.diff(np.append(starts, len(order))))
+
+
+def repeats_before(text: np.ndarray, begin: np.ndarray, end: np.ndarray, count: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """Starts (positions in ``text``) whose ``length`` bytes also start in a string of a smaller owner."""
+    order, least = least_owners(text, begin, end, count, owner, length)
+    who = owner[np.searchsorted(begin, order, side="right") - 1]
+    return np.sort(order[who > least])
