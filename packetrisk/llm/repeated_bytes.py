@@ -35,16 +35,16 @@ from packetrisk.llm.textops import column, mix, signed, slices, to_bytes
 BLOCK, COMPARED = 1 << 19, 6_000
 #: Text bytes of a bucket of anchors and of a chunk of texts (chunks grow beyond MOST_CHUNKS of them).
 BUCKET_BYTES, CHUNK_BYTES, MOST_CHUNKS = 8 << 20, 4 << 20, 1_000_000
-#: An anchor is dealt out string by string when its fragments show so many of the 256 values of a content byte (about 400 different fragments).
-MANY_CONTENTS = 200
+#: An anchor is dealt out string by string when its fragments show so many values of 16 content bits (about 8,700 different fragments).
+MANY_CONTENTS = 8_192
 
 _U = np.uint64
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
 #: Bits of a position inside a block: blocks are below 2 MB.
 _PLACE = 21
-#: Bits of an anchor that travel beside its bucket.
-_KEY = 39
+#: Bits of an anchor that travel beside its bucket, and bits of a content.
+_KEY, _CONTENT = 39, 16
 MEMBER = np.dtype([("row", "<i8"), ("doc", "<i8"), ("begin", "<i4")])
 
 
@@ -123,9 +123,8 @@ class Fragments:
         return tuple(np.concatenate([a[whole], b]) for a, b in parts)
 
 
-def blocks(texts: list[bytes], length: int, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+def blocks(texts: list[bytes], length: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """(text, offset, bytes) of consecutive parts that hold about ``limit`` bytes; parts of a long text overlap by length - 1."""
-    limit = limit or BLOCK
     held, size = [], 0
     for i, t in enumerate(texts):
         for at in range(0, max(1, len(t) - length + 1), limit):
@@ -163,10 +162,10 @@ def _unpacked(blob: bytes, width: int) -> np.ndarray:
 
 
 def _marks(keys: np.ndarray, part: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys (anchor bits above one content byte), and whether the anchor occurs in two texts: in two parts, or marked before."""
+    """Distinct sorted keys (anchor bits above the content bits), and whether the anchor occurs in two texts: in two parts, or marked before."""
     order = np.argsort(keys, kind="stable")
     keys, part, two = keys[order], part[order], two[order]
-    first = _groups(keys >> _U(8))
+    first = _groups(keys >> _U(_CONTENT))
     several = (np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)) | np.logical_or.reduceat(two, first) if len(first) else two
     two = np.repeat(several, _lengths(first, len(keys)))
     one = _groups(keys)
@@ -176,9 +175,10 @@ def _marks(keys: np.ndarray, part: np.ndarray, two: np.ndarray) -> tuple[np.ndar
 def shared_anchors(texts: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
     """(__chunk, bucket, reply): for each chunk of texts its anchors that also occur in another text.
 
-    A chunk sends six bytes for each of its anchors and content bytes; a reply has five for each anchor
+    A chunk sends seven bytes for each of its anchors and contents; a reply has five for each anchor
     found.  Truncation can only name an anchor too many, never lose one.
     """
+    limit, many = BLOCK, MANY_CONTENTS
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())  # freed batches go back to the system at once
@@ -189,7 +189,7 @@ def shared_anchors(texts: DataFrame, length: int, k: int, buckets: int) -> DataF
             held.clear()
             bucket = _bucket(keys, buckets)
             ids, cut = np.unique(bucket, return_index=True)
-            rows = _packed((keys >> _U(8) & _U((1 << _KEY) - 1)) << _U(9) | (keys & _U(255)) << _U(1) | two.astype(np.uint64), 6)
+            rows = _packed((keys >> _U(_CONTENT) & _U((1 << _KEY) - 1)) << _U(_CONTENT + 1) | (keys & _U((1 << _CONTENT) - 1)) << _U(1) | two.astype(np.uint64), 7)
             blobs = [rows[p:q].tobytes() for p, q in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)])]
             return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array([now] * len(ids), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "__chunk", "anchors"])
 
@@ -199,9 +199,9 @@ def shared_anchors(texts: DataFrame, length: int, k: int, buckets: int) -> DataF
                 if held and now != chunks[a]:
                     yield flush()
                 now = int(chunks[a])
-                for which, _, parts in blocks(all_texts[a : a + n], length):
+                for which, _, parts in blocks(all_texts[a : a + n], length, limit):
                     found = Fragments(list(parts), length, k)
-                    keys = found.anchor >> _U(8) << _U(8) | found.content & _U(255)
+                    keys = found.anchor >> _U(_CONTENT) << _U(_CONTENT) | found.content & _U((1 << _CONTENT) - 1)
                     held.append(_marks(keys, np.array(which)[found.text], np.zeros(len(keys), dtype=bool)))
         if held:
             yield flush()
@@ -211,16 +211,16 @@ def shared_anchors(texts: DataFrame, length: int, k: int, buckets: int) -> DataF
         now, chunks, blobs = None, [], []
 
         def close() -> pa.RecordBatch:
-            values = [_unpacked(b, 6) for b in blobs]
+            values = [_unpacked(b, 7) for b in blobs]
             who = np.repeat(np.array(chunks, dtype=np.int64), [len(v) for v in values])
             values = np.concatenate(values)
             order = np.argsort(values, kind="stable")
             values, who = values[order], who[order]
-            first = _groups(values >> _U(9))
+            first = _groups(values >> _U(_CONTENT + 1))
             size = _lengths(first, len(values))
             two = (np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)) | (np.bitwise_or.reduceat(values, first) & _U(1) > 0)
             contents = np.add.reduceat(np.append(True, values[1:] >> _U(1) != values[:-1] >> _U(1)).astype(np.int64), first)
-            reply = (values >> _U(9) << _U(1)) | np.repeat(contents >= MANY_CONTENTS, size)
+            reply = (values >> _U(_CONTENT + 1) << _U(1)) | np.repeat(contents >= many, size)
             here = np.repeat(two, size)
             reply, who = reply[here], who[here]
             order = np.argsort(who, kind="stable")
@@ -258,8 +258,7 @@ def shared_fragments(texts: DataFrame, replies: DataFrame, length: int, k: int,
 
     ``least`` is the smallest id among the members (packed rows of MEMBER).
     """
-    spark = texts.sparkSession
-    none = F.lit(None)
+    limit, none = BLOCK, F.lit(None)
     rows = texts.select("__chunk", F.lit(1).alias("kind"), none.cast("long").alias("bucket"), "__row", "__doc", "__text")
     rows = rows.unionByName(replies.select("__chunk", F.lit(0).alias("kind"), "bucket", none.cast("long").alias("__row"), none.cast("long").alias("__doc"), F.col("reply").alias("__text")))
     names = ["anchor", "content", "least", "bits", "members"]
@@ -269,9 +268,9 @@ def shared_fragments(texts: DataFrame, replies: DataFrame, length: int, k: int,
         now, told, known, apart = None, [], np.empty(0, np.uint64), np.empty(0, bool)
 
         def fragments_of(ids: np.ndarray, docs: np.ndarray, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
-            for which, offset, parts in blocks(bodies, length):
+            for which, offset, parts in blocks(bodies, length, limit):
                 which, offset, found = np.array(which), np.array(offset), Fragments(list(parts), length, k)
-                code = _bucket(found.anchor, buckets) << _U(_KEY) | found.anchor >> _U(8) & _U((1 << _KEY) - 1)
+                code = _bucket(found.anchor, buckets) << _U(_KEY) | found.anchor >> _U(_CONTENT) & _U((1 << _KEY) - 1)
                 at = np.minimum(np.searchsorted(known, code), len(known) - 1)
                 here = np.flatnonzero(known[at] == code)
                 if not len(here):
@@ -320,7 +319,7 @@ def verdicts(units: DataFrame, length: int) -> DataFrame:
     Bit i of ``placed`` says that the sort has placed start i, bit i of ``repeated`` that the string there
     also starts in an id smaller than ``least``.
     """
-    names = ["anchor", "content", "least", "placed", "repeated"]
+    names, compared = ["anchor", "content", "least", "placed", "repeated"], COMPARED
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
@@ -346,7 +345,7 @@ def verdicts(units: DataFrame, length: int) -> DataFrame:
                 if last is not None and row[0] == last[0] and row[1] == last[1] and row[3] == last[3]:
                     last[2] = min(last[2], row[2])
                     continue
-                if len(held) >= COMPARED and row[0] != last[0]:
+                if len(held) >= compared and row[0] != last[0]:
                     yield close(held)
                     held = []
                 held.append(list(row))

@@ -329,3 +329,42 @@ def test_licenses(spark, sets, odd):
 
 def test_names():
     assert [sum(q.startswith(f"op{n}_") for q in queries()) for n in range(1, 11)] == [1] * 10
+
+
+def test_repeated_bytes_odd_ids_and_split_anchors(spark, monkeypatch):
+    """Equal ids with different texts, an anchor dealt out string by string, a long text in several blocks; all by the sort."""
+    rng = random.Random(9)
+    phrase, tail = "a phrase of the house style", prose(rng, 30)
+    rows = [(2, tail + " one"), (2, prose(rng, 40)), (1, tail + " two"), (2, tail + " three")]
+    rows += [(10 + i, f"{prose(rng, 12)} {phrase} {prose(rng, 12)}" + (tail[:70] if i % 3 else "")) for i in range(60)]
+    rows += [(80, "x".join(prose(rng, 300) for _ in range(6))), (81, "y" + prose(rng, 200) + tail)]
+    rows += [(82, rows[-2][1][700:9000]), (83, rows[5][1]), (84, rows[5][1] + "!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first = {}
+    for d, t in sorted(rows):
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], d)
+    want = []
+    for d, t in rows:
+        gone = {j for i in range(len(t) - 49) if first[t[i : i + 50]] < d for j in range(i, i + 50)}
+        want.append((d, len(t), "".join(c for i, c in enumerate(t) if i not in gone)))
+
+    def got():
+        return sorted((r.doc_id, r.n_bytes, bytes(r.kept_bytes).decode()) for r in repeated_bytes.remove_repeats(df).collect())
+
+    monkeypatch.setattr(repeated_bytes, "BLOCK", 2_000)
+    for many, chunk in ((8_192, 4 << 20), (2, 3_000)):
+        monkeypatch.setattr(repeated_bytes, "MANY_CONTENTS", many)
+        monkeypatch.setattr(repeated_bytes, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(repeated_bytes, "COMPARED", 20)
+        assert got() == sorted(want)
+
+
+def test_repeats_are_the_verdict_of_the_sort(monkeypatch):
+    """Without the sort's order no start is placed, so nothing would be removed."""
+    text = b"abcdefghij" * 3
+    args = (np.frombuffer(text, np.uint8), np.array([0, 10, 20]), np.array([10, 20, 30]), np.array([3, 3, 3]), np.array([5, 2, 9]), 8)
+    at, least = suffix_sort.least_owners(*args)
+    assert sorted(at.tolist()) == [0, 1, 2, 10, 11, 12, 20, 21, 22] and set(least.tolist()) == {2}
+    monkeypatch.setattr(suffix_sort, "sort_starts", lambda *a: np.empty(0, np.int64))
+    assert not len(suffix_sort.least_owners(*args)[0])
