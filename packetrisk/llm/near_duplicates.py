@@ -1,16 +1,17 @@
 """MinHash near-duplicates by an inverted join on signature coordinates.
 
-Every distinct shingle set has a MinHash signature.  Its (coordinate, value) pairs
-are ordered from rare to common over the corpus; two signatures that agree in at
-least t of n coordinates share one of their first n - t + 1 pairs (prefix filter).
-Those are posted; sorted postings are merged as streams, collisions are counted,
-and pairs above the match threshold are confirmed on the full shingle sets.
-
-Within a posting list a document is paired with the list's first few members only
-(its hubs).  Long lists come back in later rounds with other hubs, and only between
-documents that no chain of links joins yet; whatever still differs after the last
-round is paired completely.  So no link between components is lost, and a group of
-copies costs a multiple of its size.
+Every distinct shingle set has a MinHash signature.  The (coordinate, value) pairs of
+its first coordinates are ordered from rare to common over the corpus; two signatures
+that agree in at least t of n coordinates share one of their first n - t + 1 pairs
+(prefix filter).  Those are posted under each pair; sorted postings are merged,
+collisions are counted over the whole signature, and pairs above the match threshold
+are confirmed on the full shingle sets.
+
+The merge has two turns.  First a document is paired with each list's first few members
+only (its hubs, the centres of groups of copies).  Then lists that still hold documents
+of different components are merged again: every pair of different components is counted
+inside the merge, and only pairs above the match threshold leave it.  So no link between
+components is lost, and copies that their hubs join cost a multiple of their number.
 """
 
 from __future__ import annotations
@@ -20,20 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetrisk.llm.components import connected_components
-from packetrisk.llm.store import matching, stored
+from packetrisk.llm.store import discard, matching, stored
 from packetrisk.llm.textops import WordHashes, column, hash_words, mix, signed, slices, space_words, to_bytes, window_docs, window_hashes
 
 #: Slots of the table of posting counts (4 MB): it only sets the order from rare to common, never a result.
 SLOTS = 1 << 20
-#: Hubs of a list in one round, and rounds before the rest is paired completely; it is paired at once when
-#: that takes at most REST pairs (a pair counts in each list it shares) for each document.
-HUBS, ROUNDS, REST = 4, 3, 4
-#: Chance that a pair exactly at the threshold falls below the match threshold.
-MISS = 1e-6
+#: Members of a list that its other members are paired with in the first turn.
+HUBS = 4
+#: Members of a list that one task holds in the second turn; a longer list is dealt out in pairs of such parts.
+PART = 2_000
+#: Coordinates whose collisions are counted (the first ``coordinates`` of them are posted).
+COUNTED = 384
+#: Chance that a pair exactly at the threshold is lost by the prefix filter, and by the count.
+MISS = 1e-5
 
 
 def match_threshold(n: int, similarity: float, miss: float = MISS) -> int:
@@ -48,7 +52,7 @@ def match_threshold(n: int, similarity: float, miss: float = MISS) -> int:
 
 
 def coordinate_factors(n: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(seed).integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingle_sets(docs: list[list[bytes]], k: int, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +87,11 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, factors: np.ndarray) -> np.
     a = 0
     while a < len(bounds) - 1:
         b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + 40_000, side="right")) - 1)
-        part, starts = sets[bounds[a] : bounds[b]], bounds[a:b] - bounds[a]
+        part, starts = (sets[bounds[a] : bounds[b]] >> np.uint64(32)).astype(np.uint32), bounds[a:b] - bounds[a]
+        turned = np.empty_like(part)
         for i, f in enumerate(factors):
-            out[a:b, i] = np.minimum.reduceat(((part * f) >> np.uint64(32)).astype(np.uint32), starts)
+            np.multiply(part, f, out=turned)
+            out[a:b, i] = np.minimum.reduceat(turned, starts)
         a = b
     return out
 
@@ -95,8 +101,9 @@ def posting_pairs(sig: np.ndarray) -> np.ndarray:
     return mix((np.arange(sig.shape[1], dtype=np.uint64) << np.uint64(32))[None, :] | sig.astype(np.uint64))
 
 
-def _signature_rows(docs: DataFrame, k: int, n: int) -> DataFrame:
-    factors = coordinate_factors(n)
+def _signature_rows(docs: DataFrame, k: int, n: int, counted: int) -> DataFrame:
+    """doc_id, set size, two set hashes, the ``n`` posted coordinates, and the low bytes of all ``counted`` ones."""
+    factors = coordinate_factors(counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -108,7 +115,7 @@ def _signature_rows(docs: DataFrame, k: int, n: int) -> DataFrame:
                 sig: list[bytes | None] = [None] * batch.num_rows
                 low: list[bytes | None] = [None] * batch.num_rows
                 for i, s in zip(full.tolist(), signatures(sets, np.append(bounds[full], len(sets)), factors)):
-                    sig[i], low[i] = s.tobytes(), s.astype(np.uint8).tobytes()
+                    sig[i], low[i] = s[:n].tobytes(), s.astype(np.uint8).tobytes()
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(sets ^ np.uint64(c)))]) for c in (0x243F6A8885A308D3, 0x13198A2E03707344)]
                 keys = [signed(s[bounds[1:]] - s[bounds[:-1]]) for s in sums]
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sizes), pa.array(keys[0]), pa.array(keys[1]), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n", "k1", "k2", "sig", "low"])
@@ -158,41 +165,97 @@ def _postings(sigs: DataFrame, n: int, prefix: int, counts: np.ndarray) -> DataF
     return sigs.select("vid", "n", "sig").mapInArrow(run, "token long, vid long, n long, common int")
 
 
-def _merge(postings: DataFrame, ratio: float, seed: int) -> DataFrame:
-    """Stream sorted posting lists: (a, b, null) pairs with each list's hubs, and (null, vid, token) of long lists.
+def _merge(postings: DataFrame, ratio: float) -> DataFrame:
+    """Stream sorted posting lists: (a, b, null, null) pairs with each list's hubs, and (null, vid, n, token) of longer lists.
 
-    Input: token, vid, n, common, comp.  Members come in one order over all lists, so that lists of the same
-    documents have the same hubs: first those of the most common values (centres of groups), in later rounds
-    a pseudo-random order.  State is one list's hubs.
+    Members come in one order over all lists, those of the most common values (centres of groups) first, so
+    that lists of the same documents have the same hubs.  State is one list's hubs.
     """
-
     most = HUBS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, hubs, size = None, [], 0
         for batch in batches:
             pairs, rest = [], []
-            for t, v, n, c in zip(*(column(batch, x).to_pylist() for x in ("token", "vid", "n", "comp"))):
+            for t, v, n in zip(*(column(batch, x).to_pylist() for x in ("token", "vid", "n"))):
                 if t != token:
                     token, hubs, size = t, [], 0
-                for h, hn, hc in hubs:
-                    if hc != c and min(n, hn) >= ratio * max(n, hn):
+                for h, hn in hubs:
+                    if min(n, hn) >= ratio * max(n, hn):
                         pairs.append((h, v) if h < v else (v, h))
                 size += 1
                 if size <= most:
-                    hubs.append((v, n, c))
+                    hubs.append((v, n))
                 else:
                     if size == most + 1:
-                        rest += [(h, t) for h, _, _ in hubs]
-                    rest.append((v, t))
+                        rest += [(h, hn, t) for h, hn in hubs]
+                    rest.append((v, n, t))
             pairs = list(dict.fromkeys(pairs))
             a, b = zip(*pairs) if pairs else ((), ())
-            v, t = zip(*rest) if rest else ((), ())
-            none = [None] * len(v)
-            yield pa.RecordBatch.from_arrays([pa.array([*a, *none], pa.int64()), pa.array([*b, *v], pa.int64()), pa.array([None] * len(a) + [*t], pa.int64())], names=["a", "b", "token"])
+            v, n, t = zip(*rest) if rest else ((), (), ())
+            none, gap = [None] * len(v), [None] * len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([*a, *none], [*b, *v], [*gap, *n], [*gap, *t])], names=["a", "b", "n", "token"])
+
+    ready = postings.repartition("token").sortWithinPartitions("token", F.col("common").desc(), "vid")
+    return ready.select("token", "vid", "n").mapInArrow(run, "a long, b long, n long, token long")
+
+
+def _open_lists(long: DataFrame, comps: DataFrame) -> DataFrame:
+    """(vid, n, comp, lists): documents with the posting lists (token, size) that hold several components."""
+    of_docs = long.groupBy(F.col("b").alias("vid"), "n").agg(F.collect_list("token").alias("tokens"))
+    of_docs = of_docs.join(comps.withColumnRenamed("node", "vid"), "vid", "left").withColumn("comp", F.coalesce("component", "vid"))
+    rows = of_docs.select("vid", "n", "comp", F.explode("tokens").alias("token"))
+    whole = Window.partitionBy("token")
+    rows = rows.withColumn("several", F.min("comp").over(whole) < F.max("comp").over(whole)).withColumn("size", F.count("*").over(whole)).where("several")
+    return rows.groupBy("vid", "n", "comp").agg(F.collect_list(F.struct("token", "size")).alias("lists"))
+
+
+def _counted_pairs(members: DataFrame, ratio: float, least: int) -> DataFrame:
+    """(a, b) of different components that agree in at least ``least`` coordinates and share one of the lists.
+
+    A list of up to PART members is merged in one task.  A longer one is dealt out by pairs of its parts, so a
+    task holds two parts at most, whatever the list.
+    """
+    part = PART
+    lists = members.select("vid", "n", "comp", "low", F.explode("lists").alias("l")).select("vid", "n", "comp", "low", "l.*")
+    parts = F.ceil(F.col("size") / part).cast("int")
+    own = F.pmod(F.xxhash64("vid"), parts).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(F.least(own, i).alias("i"), F.greatest(own, i).alias("j")))
+    rows = lists.select("token", "vid", "n", "comp", "low", own.alias("own"), F.explode(cells).alias("cell")).select("token", "cell.i", "cell.j", "own", "vid", "n", "comp", "low")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> pa.RecordBatch:
+            own, vid, n, comp = (np.array(x, dtype=np.int64) for x in list(zip(*held))[:4])
+            low = np.frombuffer(b"".join(h[4] for h in held), np.uint8).reshape(len(held), -1)
+            found = [np.empty((0, 2), np.int64)]
+            if now[1] == now[2]:  # all pairs of one part: rows outside its largest component with all others
+                names, where, many = np.unique(comp, return_inverse=True, return_counts=True)
+                left, right = np.flatnonzero(where != np.argmax(many)), np.arange(len(vid))
+            else:
+                left, right = np.flatnonzero(own == now[1]), np.flatnonzero(own == now[2])
+            for i in left.tolist():
+                at = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= ratio * np.maximum(n[right], n[i]))]
+                at = at[np.count_nonzero(low[at] == low[i], axis=1) >= least]
+                if len(at):
+                    pair = np.column_stack([np.full(len(at), vid[i]), vid[at]])
+                    found.append(np.sort(pair, axis=1))
+            held.clear()
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            for t, i, j, *row in zip(*(column(batch, c).to_pylist() for c in ("token", "i", "j", "own", "vid", "n", "comp", "low"))):
+                if held and now != (t, i, j):
+                    yield close()
+                now = t, i, j
+                held.append(row)
+        if held:
+            yield close()
 
-    ready = postings.withColumn("__o", F.xxhash64("vid", F.lit(seed)) if seed else -F.col("common").cast("long"))
-    return ready.repartition("token").sortWithinPartitions("token", "__o", "vid").select("token", "vid", "n", "comp").mapInArrow(run, "a long, b long, token long")
+    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _colliding(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -250,41 +313,34 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: tuple[int, int] = (80,
     """
     num, den = threshold
     ratio = num / den
-    least = match_threshold(coordinates, ratio)
+    prefix = coordinates - match_threshold(coordinates, ratio) + 1
+    counted = max(COUNTED, coordinates)
+    least = match_threshold(counted, ratio)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    rows = stored(_signature_rows(docs, k, coordinates).withColumn("sig", F.when(F.col("doc_id").isNotNull(), F.col("sig"))))
+    rows = _signature_rows(docs, k, coordinates, counted)
+    rows = stored(rows.select("doc_id", "n", "k1", "k2", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("sig", "low"))))
     full = rows.where("sig is not null")
-    classes = full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("vid"), F.first("sig").alias("sig"), F.first("low").alias("low"))
-    classes = stored(classes)
-    postings = stored(_postings(classes, coordinates, coordinates - least + 1, _slot_counts(classes, coordinates)).withColumn("comp", F.col("vid")))
-    links, now, comps, turn, complete = None, postings, None, 0, False
-    while True:
-        if not complete:
-            merged = stored(_merge(now, ratio, turn))
-            pairs = stored(merged.where("token is null").select("a", "b").distinct())
-        else:
-            x, y = (now.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("vid", "n", "comp"))) for s in "xy")
-            near = F.least("n_x", "n_y") >= ratio * F.greatest("n_x", "n_y")
-            pairs = stored(x.join(y, "token").where((F.col("vid_x") < F.col("vid_y")) & (F.col("comp_x") != F.col("comp_y")) & near).select(F.col("vid_x").alias("a"), F.col("vid_y").alias("b")).distinct())
-        found = _confirmed(stored(_colliding(pairs, classes, least)), docs, k, num, den)
-        links = stored(found if links is None else links.union(found))
-        comps = stored(connected_components(links))
-        if complete:
-            break
-        long = merged.where("token is not null").select("token", F.col("b").alias("vid"))
-        sizes = now.select("vid", "n").distinct() if turn else classes.select("vid", "n")
-        joined = stored(long.join(sizes, "vid").join(comps.withColumnRenamed("node", "vid"), "vid", "left").select("token", "vid", "n", F.lit(0).alias("common"), F.coalesce("component", "vid").alias("comp")))
-        lists = joined.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own")).where("comps > 1")
-        lists = stored(lists.select("token", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")))
-        left = lists.agg(F.sum("pairs")).first()[0]
-        if not left:
-            break
-        now, turn = joined.join(lists, "token", "left_semi"), turn + 1
-        complete = turn == ROUNDS or left <= REST * classes.count()
+    classes = stored(full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("vid"), F.first("sig").alias("sig"), F.first("low").alias("low")))
+    merged = stored(_merge(_postings(classes, coordinates, prefix, _slot_counts(classes, coordinates)), ratio))
+    pairs = stored(merged.where("token is null").select("a", "b").distinct())
+    near = stored(_colliding(pairs, classes, least))
+    links = stored(_confirmed(near, docs, k, num, den))
+    comps = stored(connected_components(links))
+    opened = stored(_open_lists(merged.where("token is not null"), comps))
+    discard(merged, pairs)
+    if opened.limit(1).count():
+        more = stored(_counted_pairs(opened.join(classes.select("vid", "low"), "vid"), ratio, least).join(near, ["a", "b"], "left_anti"))
+        found = stored(_confirmed(more, docs, k, num, den))
+        stars = comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        joined = stored(connected_components(stars.union(found)))
+        discard(more, found, links, comps)
+        comps = joined
+    discard(near, opened)
     member = classes.select("n", "k1", "k2", "vid").join(comps.withColumnRenamed("node", "vid"), "vid", "left").select("n", "k1", "k2", F.coalesce("component", "vid").alias("class_id"))
     out = rows.select("doc_id", "n", "k1", "k2", F.col("sig").isNotNull().alias("full")).join(member, ["n", "k1", "k2"], "left")
     component = F.when(F.col("full"), F.col("class_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = stored(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")))
+    discard(rows, classes, comps)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

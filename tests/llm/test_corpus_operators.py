@@ -72,10 +72,11 @@ def test_near_duplicates(sets, k, num):
         assert got == brute.near_groups(docs, k, num, 100)
 
 
-def test_near_duplicates_complete_without_hubs(sets, monkeypatch):
-    """One hub and no further round: the complete pairing of what is left gives the same groups."""
+@pytest.mark.parametrize("part", [2_000, 7])
+def test_near_duplicates_complete_without_hubs(sets, monkeypatch, part):
+    """One hub, then the second turn, also over the parts of long lists: the same groups."""
     monkeypatch.setattr(near_duplicates, "HUBS", 1)
-    monkeypatch.setattr(near_duplicates, "ROUNDS", 1)
+    monkeypatch.setattr(near_duplicates, "PART", part)
     docs, df = sets[1]
     got = {r[0]: tuple(r)[1:] for r in near_duplicates.near_duplicates(df, 3, (85, 100)).collect()}
     assert got == brute.near_groups(docs, 3, 85, 100)
