@@ -8,6 +8,7 @@ so that neighbours on the curve share sequences.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetrisk.llm.store import pieces
-from packetrisk.llm.textops import column, mix, slices, to_bytes
+from packetrisk.llm.textops import column, kept_in_worker, mix, slices, to_bytes
 
 DIMENSIONS, LEVELS = 3, 10
 #: Documents whose points set the cells of the curve and the ranges of partitions (never which documents are packed).
@@ -113,10 +114,13 @@ def curve_cells(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
 class ChunkIds(dict):
     """White-space-free chunk -> its token ids as little-endian 32-bit bytes; whole slices are filled at once.
 
-    The tokenizer drops white space before it merges, so a text's ids are those of its chunks in order.
+    The tokenizer drops white space before it merges, so a text's ids are those of its chunks in order, and
+    letters and the ASCII marks after them are merged apart.  New words of letters are encoded many at once,
+    joined by spaces: each ends in the one token of it that the vocabulary marks as the end of a word.
     """
 
-    LIMIT = 400_000
+    LIMIT = 700_000
+    MARKS = re.compile(r"(\w+?)([!-&(-/:-@\[-^`{-~]+)")
 
     def __init__(self, path: str):
         super().__init__()
@@ -124,14 +128,42 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _encode(self, items: list[str]) -> None:
+        for item, coded in zip(items, self.tokenizer.encode_batch_fast(items, add_special_tokens=False)):
+            self[item] = np.array(coded.ids, dtype="<u4").tobytes()
+
+    def _encode_words(self, words: list[str], many: int = 500) -> None:
+        groups = [words[i : i + many] for i in range(0, len(words), many)]
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(coded.ids, dtype="<u4")
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) != len(group) or end[-1] != len(ids):  # a word that lower-casing parts
+                self._encode(group)
+                continue
+            raw, edges = ids.tobytes(), [0, *(4 * end).tolist()]
+            self.update((w, raw[p:q]) for w, p, q in zip(group, edges, edges[1:]))
 
     def fill(self, texts: list[list[str]]) -> None:
-        new = list(set().union(*texts) - self.keys()) if texts else []
-        if len(self) + len(new) > self.LIMIT:
+        if len(self) > self.LIMIT:
             self.clear()
-            new = list(set().union(*texts))
-        for chunk, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self[chunk] = np.array(coded.ids, dtype="<u4").tobytes()
+        words, rest, parted = set(), set(), []
+        for item in set().union(*texts) - self.keys():
+            if item.isalpha():
+                words.add(item)
+            elif (m := self.MARKS.fullmatch(item)) and m[1].isalpha():
+                parted.append((item, m[1], m[2]))
+                words.add(m[1])
+                rest.add(m[2])
+            else:
+                rest.add(item)
+        self._encode_words(list(words - self.keys()))
+        self._encode(list(rest - self.keys()))
+        for item, word, marks in parted:
+            self[item] = self[word] + self[marks]
 
 
 def chunks(text: bytes) -> list[str]:
@@ -193,7 +225,7 @@ def pack_documents(df: DataFrame, size: int = 2048, tokenizer: str | None = None
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, packer = ChunkIds(tokenizer), None
+        known, packer = kept_in_worker(f"chunk ids of {tokenizer}", lambda: ChunkIds(tokenizer)), None
         rows_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
         for whole in batches:
             for batch in slices(whole, "__text"):

@@ -7,7 +7,9 @@ because every byte of a multi-byte character is 0x80 or above.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +89,17 @@ def window_docs(bounds: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndar
     return start, np.arange(len(start)) + k <= bounds[1:][start]
 
 
+def kept_in_worker(name: str, make: Callable):
+    """An object that stays in the Python worker for later tasks (a cache: results never depend on it).
+
+    The package's own globals would not do: its code may reach a worker anew with every task.
+    """
+    state = sys.modules.setdefault("packetrisk_worker_state", types.ModuleType("packetrisk_worker_state")).__dict__
+    if name not in state:
+        state[name] = make()
+    return state[name]
+
+
 def to_bytes(column) -> list[bytes]:
     """A string or binary Arrow column as bytes; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
