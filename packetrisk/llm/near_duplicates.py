@@ -34,8 +34,9 @@ SLOTS = 1 << 20
 HUBS = 4
 #: Members of a list that one task holds in the second turn; a longer list is dealt out in pairs of such parts.
 PART = 2_000
-#: Coordinates whose collisions are counted (the first ``coordinates`` of them are posted).
-COUNTED = 384
+#: Coordinates whose collisions are counted (the first ``coordinates`` of them are posted), and values of what is
+#: compared of each (its low half byte: equal values have equal ones, others one in sixteen).
+COUNTED, LOW = 768, 16
 #: Chance that a pair exactly at the threshold is lost by the prefix filter, and by the count.
 MISS = 1e-5
 
@@ -96,13 +97,25 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, factors: np.ndarray) -> np.
     return out
 
 
+def half_bytes(sig: np.ndarray) -> bytes:
+    """The low half bytes of a signature, two in a byte."""
+    low = (sig & np.uint32(LOW - 1)).astype(np.uint8)
+    return (low[0::2] << 4 | low[1::2]).tobytes()
+
+
+def collisions(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of equal half bytes in each row of two arrays of packed half bytes."""
+    differ = x ^ y
+    return np.count_nonzero(differ & 0xF0 == 0, axis=-1) + np.count_nonzero(differ & 0x0F == 0, axis=-1)
+
+
 def posting_pairs(sig: np.ndarray) -> np.ndarray:
     """The (coordinate, value) pairs of signatures as 64-bit keys."""
     return mix((np.arange(sig.shape[1], dtype=np.uint64) << np.uint64(32))[None, :] | sig.astype(np.uint64))
 
 
 def _signature_rows(docs: DataFrame, k: int, n: int, counted: int) -> DataFrame:
-    """doc_id, set size, two set hashes, the ``n`` posted coordinates, and the low bytes of all ``counted`` ones."""
+    """doc_id, set size, two set hashes, the ``n`` posted coordinates, and the low half bytes of all ``counted`` ones."""
     factors = coordinate_factors(counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +128,7 @@ def _signature_rows(docs: DataFrame, k: int, n: int, counted: int) -> DataFrame:
                 sig: list[bytes | None] = [None] * batch.num_rows
                 low: list[bytes | None] = [None] * batch.num_rows
                 for i, s in zip(full.tolist(), signatures(sets, np.append(bounds[full], len(sets)), factors)):
-                    sig[i], low[i] = s[:n].tobytes(), s.astype(np.uint8).tobytes()
+                    sig[i], low[i] = s[:n].tobytes(), half_bytes(s)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(sets ^ np.uint64(c)))]) for c in (0x243F6A8885A308D3, 0x13198A2E03707344)]
                 keys = [signed(s[bounds[1:]] - s[bounds[:-1]]) for s in sums]
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sizes), pa.array(keys[0]), pa.array(keys[1]), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n", "k1", "k2", "sig", "low"])
@@ -237,7 +250,7 @@ def _counted_pairs(members: DataFrame, ratio: float, least: int) -> DataFrame:
                 left, right = np.flatnonzero(own == now[1]), np.flatnonzero(own == now[2])
             for i in left.tolist():
                 at = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= ratio * np.maximum(n[right], n[i]))]
-                at = at[np.count_nonzero(low[at] == low[i], axis=1) >= least]
+                at = at[collisions(low[at], low[i]) >= least]
                 if len(at):
                     pair = np.column_stack([np.full(len(at), vid[i]), vid[at]])
                     found.append(np.sort(pair, axis=1))
@@ -261,13 +274,13 @@ def _counted_pairs(members: DataFrame, ratio: float, least: int) -> DataFrame:
 def _colliding(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree in at least ``least`` coordinates.
 
-    The low byte of each coordinate is compared: equal values have equal bytes, so no pair is lost, and a quarter travels.
+    Half bytes of the coordinates are compared: equal values have equal ones, so no pair is lost, and an eighth travels.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero((x == y).sum(axis=1) >= least)))
+            yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(collisions(x, y) >= least)))
 
     left, right = (classes.select(F.col("vid").alias(s), F.col("low").alias(f"s{s}")) for s in "ab")
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -314,8 +327,8 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: tuple[int, int] = (80,
     num, den = threshold
     ratio = num / den
     prefix = coordinates - match_threshold(coordinates, ratio) + 1
-    counted = max(COUNTED, coordinates)
-    least = match_threshold(counted, ratio)
+    counted = max(COUNTED, coordinates + coordinates % 2)
+    least = match_threshold(counted, ratio + (1 - ratio) / LOW)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("__text"))
     rows = _signature_rows(docs, k, coordinates, counted)
     rows = stored(rows.select("doc_id", "n", "k1", "k2", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("sig", "low"))))
