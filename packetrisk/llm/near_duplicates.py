@@ -226,15 +226,16 @@ def _open_lists(long: DataFrame, comps: DataFrame) -> DataFrame:
 def _counted_pairs(members: DataFrame, ratio: float, least: int) -> DataFrame:
     """(a, b) of different components that agree in at least ``least`` coordinates and share one of the lists.
 
-    A list of up to PART members is merged in one task.  A longer one is dealt out by pairs of its parts, so a
+    A pair leaves the first of the lists that both share, so it leaves once.  A list of up to PART members is merged in one task.  A longer one is dealt out by pairs of its parts, so a
     task holds two parts at most, whatever the list.
     """
     part = PART
-    lists = members.select("vid", "n", "comp", "low", F.explode("lists").alias("l")).select("vid", "n", "comp", "low", "l.*")
+    members = members.withColumn("tokens", F.transform("lists", lambda x: x["token"]))
+    lists = members.select("vid", "n", "comp", "low", "tokens", F.explode("lists").alias("l")).select("vid", "n", "comp", "low", "tokens", "l.*")
     parts = F.ceil(F.col("size") / part).cast("int")
     own = F.pmod(F.xxhash64("vid"), parts).cast("int")
     cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(F.least(own, i).alias("i"), F.greatest(own, i).alias("j")))
-    rows = lists.select("token", "vid", "n", "comp", "low", own.alias("own"), F.explode(cells).alias("cell")).select("token", "cell.i", "cell.j", "own", "vid", "n", "comp", "low")
+    rows = lists.select("token", "vid", "n", "comp", "low", "tokens", own.alias("own"), F.explode(cells).alias("cell")).select("token", "cell.i", "cell.j", "own", "vid", "n", "comp", "low", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -242,7 +243,7 @@ def _counted_pairs(members: DataFrame, ratio: float, least: int) -> DataFrame:
         def close() -> pa.RecordBatch:
             own, vid, n, comp = (np.array(x, dtype=np.int64) for x in list(zip(*held))[:4])
             low = np.frombuffer(b"".join(h[4] for h in held), np.uint8).reshape(len(held), -1)
-            found = [np.empty((0, 2), np.int64)]
+            tokens, found = [set(h[5]) for h in held], [np.empty((0, 2), np.int64)]
             if now[1] == now[2]:  # all pairs of one part: rows outside its largest component with all others
                 names, where, many = np.unique(comp, return_inverse=True, return_counts=True)
                 left, right = np.flatnonzero(where != np.argmax(many)), np.arange(len(vid))
@@ -251,6 +252,7 @@ def _counted_pairs(members: DataFrame, ratio: float, least: int) -> DataFrame:
             for i in left.tolist():
                 at = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= ratio * np.maximum(n[right], n[i]))]
                 at = at[collisions(low[at], low[i]) >= least]
+                at = np.array([x for x in at.tolist() if min(tokens[i] & tokens[x]) == now[0]], dtype=np.int64)
                 if len(at):
                     pair = np.column_stack([np.full(len(at), vid[i]), vid[at]])
                     found.append(np.sort(pair, axis=1))
@@ -259,7 +261,7 @@ def _counted_pairs(members: DataFrame, ratio: float, least: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            for t, i, j, *row in zip(*(column(batch, c).to_pylist() for c in ("token", "i", "j", "own", "vid", "n", "comp", "low"))):
+            for t, i, j, *row in zip(*(column(batch, c).to_pylist() for c in ("token", "i", "j", "own", "vid", "n", "comp", "low", "tokens"))):
                 if held and now != (t, i, j):
                     yield close()
                 now = t, i, j
@@ -268,7 +270,7 @@ def _counted_pairs(members: DataFrame, ratio: float, least: int) -> DataFrame:
             yield close()
 
     dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _colliding(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
