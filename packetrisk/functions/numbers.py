@@ -13,7 +13,8 @@ def safe_int(c: Column) -> Column:
 
 def safe_number(c: Column) -> Column:
     """A string column parsed as an integer, else 0; a numeric column unchanged, null 0."""
-    return F.coalesce(c.try_cast("int").cast("double"), F.lit(0.0))
+    number = F.when(F.typeof(c) == "string", c.try_cast("int").cast("double")).otherwise(c.try_cast("double"))
+    return F.coalesce(number, F.lit(0.0))
 
 
 def safe_float(c: Column) -> Column:

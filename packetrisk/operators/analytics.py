@@ -87,8 +87,9 @@ def top_profiles(events: DataFrame, n: int = 5) -> DataFrame:
 
 
 def threat_table(events: DataFrame, rdns: DataFrame, geo: DataFrame, n: int = 5) -> DataFrame:
-    """The top sources with host name and country. The dimensions are cut to the n addresses first."""
-    best = top_profiles(events, n)
+    """The top sources with host name and country. The n rows are fetched once; the dimensions are cut to their addresses."""
+    ranked = top_profiles(events, n)
+    best = events.sparkSession.createDataFrame(ranked.collect(), ranked.schema)  # n rows
     few = F.broadcast(best.select(F.col("source_ip").alias("__k")))  # n rows
     names = rdns.join(few, F.col("ip") == F.col("__k"), "left_semi").dropDuplicates(["ip"]).select(F.col("ip").alias("__name_ip"), "hostname")
     places = geo.join(few, F.col("ip") == F.col("__k"), "left_semi")

@@ -8,13 +8,39 @@ from pyspark.sql import functions as F
 from packetrisk.config import DEFAULTS, RiskConfig
 
 
-def behavioral_drift(df: DataFrame, config: RiskConfig = DEFAULTS, name: str = "drift") -> DataFrame:
-    """|packet_count - mean of the previous counts (at most 19)|, 0 with fewer than 4 of them."""
-    past = Window.partitionBy("source_ip").orderBy("t_us", "packet_id").rowsBetween(-(config.drift_history - 1), -1)
+def behavioral_drift(df: DataFrame, config: RiskConfig = DEFAULTS, name: str = "drift", bucket_s: int | None = None) -> DataFrame:
+    """|packet_count - mean of the previous counts (at most 19)|, 0 with fewer than 4 of them.
+
+    With ``bucket_s`` a source's time is cut into buckets of that length, and each bucket gets the last rows
+    before it as context; a busy source then spreads over many tasks with the same values.
+    """
+    if bucket_s:
+        both = _with_context(df.withColumn("__b", F.floor(F.col("t_us") / (bucket_s * 1_000_000))), config.drift_history - 1)
+        return _drift(both, ["source_ip", "__b"], config, name).where("__own").drop("__b", "__own")
+    return _drift(df, ["source_ip"], config, name)
+
+
+def _drift(df: DataFrame, key: list[str], config: RiskConfig, name: str) -> DataFrame:
+    past = Window.partitionBy(*key).orderBy("t_us", "packet_id").rowsBetween(-(config.drift_history - 1), -1)
     gap = F.abs(F.col("packet_count") - F.avg("packet_count").over(past))
     return df.withColumn(name, F.when(F.count("*").over(past) >= config.drift_least - 1, gap).otherwise(0.0))
 
 
+def _with_context(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (``__own``) and, in each bucket of a source, the ``rows`` rows before it (not ``__own``).
+
+    A bucket hands on its last rows only; a bucket's context lies in as many earlier buckets at most.
+    """
+    place = ["t_us", "packet_id", "packet_count"]
+    latest = Window.partitionBy("source_ip", "__b").orderBy(F.desc("t_us"), F.desc("packet_id"))
+    ends = df.select("source_ip", "__b", *place).withColumn("__r", F.row_number().over(latest)).where(F.col("__r") <= rows)
+    ends = ends.groupBy("source_ip", "__b").agg(F.sort_array(F.collect_list(F.struct(*place))).alias("end"))
+    before = Window.partitionBy("source_ip").orderBy("__b").rowsBetween(-rows, -1)
+    context = ends.select("source_ip", "__b", F.flatten(F.collect_list("end").over(before)).alias("all"))
+    context = context.select("source_ip", "__b", F.explode(F.slice("all", F.greatest(F.lit(1), F.size("all") - rows + 1), rows)).alias("c")).select("source_ip", "__b", "c.*")
+    return df.withColumn("__own", F.lit(True)).unionByName(context.withColumn("__own", F.lit(False)), allowMissingColumns=True)
+
+
 def halving_drift(df: DataFrame, value: str = "packet_count", config: RiskConfig = DEFAULTS, name: str = "ema_drift") -> DataFrame:
     """|x - baseline|, where the baseline starts at the first x and moves half way to each x; first 0.
 

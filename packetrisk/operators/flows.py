@@ -16,6 +16,11 @@ def by_source(df: DataFrame) -> DataFrame:
     return df.repartition("source_ip")
 
 
+def by_flow(df: DataFrame) -> DataFrame:
+    """Hash on source and destination: a busy source's flows spread over the tasks."""
+    return df.repartition(*FLOW)
+
+
 def flow_snapshots(packets: DataFrame, config: RiskConfig = DEFAULTS) -> DataFrame:
     """Per packet: ``session`` (a new one after a gap of more than the timeout), packet_count and unique_ports so far.
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetrisk.functions.features import FEATURES
@@ -51,19 +51,24 @@ class Forest:
     sample: int
     threshold: float
 
+    def arrays(self) -> list[tuple[np.ndarray, ...]]:
+        """(feature, cut, low, high, size) of each tree's nodes, made once."""
+        if not hasattr(self, "_arrays"):
+            ordered = self.trees.sort_values(["tree", "node"])
+            self._arrays = [tuple(tree[c].to_numpy() for c in ("feature", "cut", "low", "high", "size")) for _, tree in ordered.groupby("tree", sort=True)]
+        return self._arrays
+
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """2 ** (-mean depth / average path); all rows go down a tree level by level."""
         depth = np.zeros(len(rows))
-        for _, tree in self.trees.groupby("tree", sort=True):
-            tree = tree.sort_values("node")
-            feature, cut, low, high, size = (tree[c].to_numpy() for c in ("feature", "cut", "low", "high", "size"))
+        for feature, cut, low, high, size in self.arrays():
             at = np.zeros(len(rows), dtype=int)
             while (inner := np.flatnonzero(feature[at] >= 0)).size:
                 node = at[inner]
                 at[inner] = np.where(rows[inner, feature[node]] <= cut[node], low[node], high[node])
                 depth[inner] += 1
             depth += average_path(size[at])
-        return 2.0 ** (-depth / max(1, self.trees["tree"].nunique()) / float(average_path(self.sample) or 1.0))
+        return 2.0 ** (-depth / max(1, len(self.arrays())) / float(average_path(self.sample) or 1.0))
 
 
 def quantile(df: DataFrame, value: str, p: float, most: int = 100_000) -> float:
@@ -115,8 +120,11 @@ def train_forest(training: DataFrame, key: str, trees: int = 100, contamination:
     return forest
 
 
-def score(df: DataFrame, forest: Forest | None) -> DataFrame:
-    """``df`` with anomaly_score, decision (threshold - score) and is_anomaly; without a forest (0, false)."""
+def score(df: DataFrame, forest: Forest | None, features: list[Column] | None = None) -> DataFrame:
+    """``df`` with anomaly_score, decision (threshold - score) and is_anomaly; without a forest (0, false).
+
+    ``features``: the normalised features, where they are not columns of ``df``.
+    """
     if forest is None:
         return df.withColumns({"anomaly_score": F.lit(0.0), "decision": F.lit(0.0), "is_anomaly": F.lit(False)})
     shared = df.sparkSession.sparkContext.broadcast(forest)  # a fixed number of small trees
@@ -127,7 +135,7 @@ def score(df: DataFrame, forest: Forest | None) -> DataFrame:
         for part in parts:
             yield pd.Series(forest.scores(np.column_stack([p.to_numpy(float) for p in part])))
 
-    out = df.withColumn("anomaly_score", run(*FEATURES))
+    out = df.withColumn("anomaly_score", run(*(features or FEATURES)))
     decision = F.lit(forest.threshold) - F.col("anomaly_score")
     return out.withColumn("decision", decision).withColumn("is_anomaly", F.col("decision") < 0)
 

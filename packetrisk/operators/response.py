@@ -17,9 +17,9 @@ def alert_candidates(scored: DataFrame) -> DataFrame:
 def alerts(scored: DataFrame, config: RiskConfig = DEFAULTS) -> DataFrame:
     """Emitted alerts of the serious rows: at most one per source in the cooldown."""
     rows = alert_candidates(scored).select("packet_id", "t_us", "source_ip", "threat_level", "risk_score")
-    kept = suppress(rows, config.alert_cooldown_s, inclusive=True).where("emitted").select("packet_id")
+    kept = suppress(rows, config.alert_cooldown_s, inclusive=True, carry=("threat_level", "risk_score")).where("emitted")
     message = F.concat(F.lit("Threat detected from "), "source_ip", F.lit(" with risk "), F.round("risk_score", 2).cast("string"))
-    return rows.join(kept, "packet_id", "left_semi").select(
+    return kept.select(
         "packet_id", "t_us", F.lit("SECURITY_ALERT").alias("alert_type"), "source_ip", "threat_level", "risk_score", message.alias("message")
     )
 

@@ -17,21 +17,22 @@ def emitted(times: np.ndarray, hold: int, inclusive: bool) -> np.ndarray:
     return out
 
 
-def suppress(candidates: DataFrame, hold_s: int, inclusive: bool, key: str = "source_ip", time: str = "t_us", order: str = "packet_id") -> DataFrame:
-    """(key, time, order, emitted). ``inclusive``: a row exactly ``hold_s`` after the last emitted one is emitted.
+def suppress(candidates: DataFrame, hold_s: int, inclusive: bool, key: str = "source_ip", time: str = "t_us", order: str = "packet_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, time, order, ``carry`` columns, emitted). ``inclusive``: a row exactly ``hold_s`` after the last emitted one is emitted.
 
     A row that follows its predecessor by the hold is emitted whatever came before, so a key is
-    cut there into segments that are worked on apart.  Only three numbers a row reach Python.
+    cut there into segments that are worked on apart.  Only these columns reach Python.
     """
     hold = hold_s * 1_000_000
     by_key = Window.partitionBy(key).orderBy(time, order)
     gap = F.col(time) - F.lag(time).over(by_key)
     cut = F.coalesce((gap >= hold) if inclusive else (gap > hold), F.lit(False)).cast("int")
-    marked = candidates.select(key, time, order).withColumn("__cut", cut)
+    kept = candidates.select(key, time, order, *carry)
+    marked = kept.withColumn("__cut", cut)
     marked = marked.withColumn("__segment", F.sum("__cut").over(by_key.rowsBetween(Window.unboundedPreceding, 0))).drop("__cut")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([time, order])
-        return rows.assign(emitted=emitted(rows[time].to_numpy(), hold, inclusive))[[key, time, order, "emitted"]]
+        return rows.assign(emitted=emitted(rows[time].to_numpy(), hold, inclusive))[[key, time, order, *carry, "emitted"]]
 
-    return marked.groupBy(key, "__segment").applyInPandas(run, f"{key} string, {time} long, {order} long, emitted boolean")
+    return marked.groupBy(key, "__segment").applyInPandas(run, kept.schema.add("emitted", "boolean"))

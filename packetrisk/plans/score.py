@@ -7,18 +7,37 @@ from pyspark.sql import functions as F
 
 from packetrisk.config import DEFAULTS, RiskConfig
 from packetrisk.functions.addresses import is_local_source
+from packetrisk.functions.features import normalised_features
 from packetrisk.functions.scores import damped, matched_rules, rule_score, signal_strength, signature_alerts, signature_score, threat_level, weighted_risk
 from packetrisk.operators.drift import behavioral_drift
-from packetrisk.operators.flows import by_source, flow_snapshots
+from packetrisk.operators import isolation_forest
+from packetrisk.operators.flows import by_flow, by_source, flow_snapshots
+from packetrisk.operators.isolation_forest import Forest
 from packetrisk.operators.trailing import trailing_counts
 from packetrisk.operators.trust import with_trust
 
 
 def activity(packets: DataFrame, config: RiskConfig = DEFAULTS, bucket_s: int | None = None) -> DataFrame:
-    """Packets with flow counters, trailing counts and drift. One exchange, on the source (two more with ``bucket_s``)."""
+    """Packets with flow counters, trailing counts and drift. One exchange, on the source.
+
+    With ``bucket_s``, for sources too busy for one task, flows are hashed on (source, destination), and drift
+    and trailing counts on (source, time bucket) with copied context: the same values, no task with a whole source.
+    """
     windows = {"rate_10s": config.rate_limit_window_s, "rate_30s": config.packet_rate_window_s, "density_60s": config.density_window_s}
-    df = trailing_counts(flow_snapshots(by_source(packets), config), windows, bucket_s=bucket_s)
-    return behavioral_drift(df, config).withColumn("rate_limited", F.col("rate_10s") > config.rate_limit_packets)
+    if bucket_s:
+        df = behavioral_drift(flow_snapshots(by_flow(packets), config), config, bucket_s=bucket_s)
+        df = trailing_counts(df, windows, bucket_s=bucket_s)
+    else:
+        df = behavioral_drift(trailing_counts(flow_snapshots(by_source(packets), config), windows), config)
+    return df.withColumn("rate_limited", F.col("rate_10s") > config.rate_limit_packets)
+
+
+def flagged(df: DataFrame, forest: Forest | None) -> DataFrame:
+    """``df`` with ``anomaly_detected`` from the isolation forest; unchanged without one."""
+    if forest is None:
+        return df
+    judged = isolation_forest.score(df, forest, normalised_features())
+    return judged.withColumn("anomaly_detected", F.col("is_anomaly")).drop("anomaly_score", "decision", "is_anomaly")
 
 
 def detect(df: DataFrame, config: RiskConfig = DEFAULTS) -> DataFrame:
@@ -43,5 +62,6 @@ def assess(df: DataFrame, config: RiskConfig = DEFAULTS) -> DataFrame:
     return out.withColumn("threat_level", quiet(F.lit("LOW"), threat_level(F.col("__risk")))).drop("__risk")
 
 
-def score_packets(packets: DataFrame, rdns: DataFrame, config: RiskConfig = DEFAULTS, bucket_s: int | None = None) -> DataFrame:
-    return assess(with_trust(detect(activity(packets, config, bucket_s), config), rdns), config)
+def score_packets(packets: DataFrame, rdns: DataFrame, config: RiskConfig = DEFAULTS, bucket_s: int | None = None, forest: Forest | None = None) -> DataFrame:
+    """Packets to scored rows; the anomaly flag is a column of the packets, or that of ``forest`` where one is given."""
+    return assess(with_trust(detect(flagged(activity(packets, config, bucket_s), forest), config), rdns), config)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +19,26 @@ FAR = 10**15
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="streams-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The RocksDB state store while a stream is started and run."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def replay(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> DataFrame:
     """Write the packets as files in time order, with a far-off packet of its own source that moves the watermark past all others."""
     rows = mapping.packets(spark, sf_dir).select(*live.ACTIVITY_IN)
@@ -36,9 +54,9 @@ def replay(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> Dat
 def drain(stream: DataFrame, folder: str, name: str) -> DataFrame:
     """Run a stream to the end of its input into a Parquet sink and read the sink."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with state_store(spark):
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
 
 
@@ -71,7 +89,7 @@ def stream_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets.repartitionByRange(4, "t_us").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     counts = live.live_trends(stream.withColumn("risk_score", F.col("packet_length").cast("double")))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/trends")
-    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    with state_store(spark):
+        counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/trends")

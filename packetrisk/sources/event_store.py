@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 STORED = (
     "packet_id long, timestamp timestamp, source_ip string, destination_ip string, protocol int, src_port int, dst_port int, packet_count long, signature_score int, "
@@ -18,10 +17,10 @@ def append_events(events: DataFrame, path: str) -> None:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """All events; an empty table where there is no store. Order by (timestamp, packet_id) for insertion order."""
-    try:
-        return spark.read.schema(STORED).parquet(path)
-    except AnalysisException:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], STORED)
+    return spark.read.schema(STORED).parquet(path)
 
 
 def count_events(spark: SparkSession, path: str) -> int:

@@ -7,6 +7,7 @@ Rows wait in state until the watermark has passed them and are then worked on in
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from packetrisk.config import DEFAULTS, RiskConfig
+from packetrisk.operators.isolation_forest import Forest
 from packetrisk.operators.response import alert_candidates
 from packetrisk.operators.trust import with_trust
-from packetrisk.plans.score import assess, detect
+from packetrisk.plans.score import assess, detect, flagged
 
 ACTIVITY_IN = ["packet_id", "t_us", "timestamp", "source_ip", "destination_ip", "protocol", "src_port", "dst_port", "packet_length", "anomaly_detected"]
 ACTIVITY = (
@@ -81,24 +83,31 @@ class ActivityProcessor(_Ordered):
     config: RiskConfig = DEFAULTS
 
     def fresh(self) -> dict:
-        return {"flows": {}, "times": [], "counts": [], "now": 0}
+        return {"flows": {}, "times": [], "counts": [], "swept": 0}
 
     def step(self, key: str, memory: dict, row: dict) -> dict:
         c, t = self.config, row["t_us"]
         timeout = c.flow_timeout_s * 1_000_000
-        memory["now"] = t
-        memory["flows"] = {d: f for d, f in memory["flows"].items() if t - f[2] <= timeout}
-        flow = memory["flows"].setdefault(row["destination_ip"], [0, set(), t])
+        if t - memory["swept"] > timeout:  # each flow is looked at once in a timeout at most
+            memory["flows"] = {d: f for d, f in memory["flows"].items() if t - f[2] <= timeout}
+            memory["swept"] = t
+        flow = memory["flows"].get(row["destination_ip"])
+        if flow is None or t - flow[2] > timeout:
+            flow = memory["flows"][row["destination_ip"]] = [0, set(), t]
         flow[0] += 1
         flow[2] = t
         if row["dst_port"]:
             flow[1].add(row["dst_port"])
-        memory["times"] = [x for x in memory["times"] if t - x <= c.density_window_s * 1_000_000] + [t]
-        within = lambda s: sum(t - x <= s * 1_000_000 for x in memory["times"])
+        times = memory["times"]  # rising
+        times.append(t)
+        old = bisect_left(times, t - c.density_window_s * 1_000_000)
+        if 2 * old > len(times):
+            del times[:old]
+        within = lambda s: len(times) - bisect_left(times, t - s * 1_000_000)
         past = memory["counts"][-(c.drift_history - 1) :]
         drift = abs(flow[0] - sum(past) / len(past)) if len(past) >= c.drift_least - 1 else 0.0
         memory["counts"] = [*past, flow[0]]
-        return {"source_ip": key, **{k: row[k] for k in ACTIVITY_IN if k != "source_ip"}, "packet_count": flow[0], "unique_ports": len(flow[1]), "rate_10s": within(c.rate_limit_window_s), "rate_30s": within(c.packet_rate_window_s), "density_60s": len(memory["times"]), "drift": float(drift)}
+        return {"source_ip": key, **{k: row[k] for k in ACTIVITY_IN if k != "source_ip"}, "packet_count": flow[0], "unique_ports": len(flow[1]), "rate_10s": within(c.rate_limit_window_s), "rate_30s": within(c.packet_rate_window_s), "density_60s": within(c.density_window_s), "drift": float(drift)}
 
 
 class CooldownProcessor(_Ordered):
@@ -125,8 +134,8 @@ def live_activity(packets: DataFrame, delay: str = "5 seconds") -> DataFrame:
     return _keyed(packets.select(*ACTIVITY_IN).withWatermark("timestamp", delay), ActivityProcessor(), ACTIVITY)
 
 
-def live_scores(packets: DataFrame, rdns: DataFrame, delay: str = "5 seconds", config: RiskConfig = DEFAULTS) -> DataFrame:
-    df = live_activity(packets, delay).withColumn("rate_limited", F.col("rate_10s") > config.rate_limit_packets)
+def live_scores(packets: DataFrame, rdns: DataFrame, delay: str = "5 seconds", config: RiskConfig = DEFAULTS, forest: Forest | None = None) -> DataFrame:
+    df = flagged(live_activity(packets, delay), forest).withColumn("rate_limited", F.col("rate_10s") > config.rate_limit_packets)
     return assess(with_trust(detect(df, config), rdns), config)
 
 
