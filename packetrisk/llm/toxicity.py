@@ -81,12 +81,12 @@ class Models:
 
 
 def train(rows: DataFrame) -> Models | None:
-    """Fit the two models on (__text, __toxic), equal texts once; None where one of the classes has no text.
+    """Fit the two models on (__text, __toxic), equal texts once (toxic if one of them is); None where one of the classes has no text.
 
     Every n-gram counts.  Discounts and the orders up to SHARED + 1 (2**18 n-grams by the size of the
     symbol set) are summed by Spark over all n-grams.
     """
-    distinct = rows.withColumn("__hash", F.xxhash64("__text")).dropDuplicates(["__hash"]).drop("__hash")
+    distinct = rows.groupBy("__text").agg(F.max("__toxic").alias("__toxic"))
     counted = stored(class_counts(distinct))
     both = [F.sum(c).alias(c) for c in ("plain", "toxic")]
     table = counted.groupBy(F.col("code").bitwiseAND(_mask(SHARED + 1)).alias("code")).agg(*both, F.count("*").alias("many")).toArrow()
