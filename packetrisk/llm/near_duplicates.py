@@ -290,7 +290,7 @@ def _colliding(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Pairs with den * intersection >= num * union on full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
