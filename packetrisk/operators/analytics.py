@@ -5,7 +5,7 @@ Events need source_ip, threat_level, risk_score and an order key (t_us, packet_i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetrisk.config import SERIOUS
@@ -14,7 +14,6 @@ from packetrisk.functions.scores import badge
 from packetrisk.operators.trust import with_location
 
 
-
 def serious(events: DataFrame, levels: list[str] = SERIOUS) -> DataFrame:
     ip = F.col("source_ip")
     return events.where(ip.isNotNull() & (ip != "") & F.col("threat_level").isin(levels) & ~is_private(ip))
@@ -51,22 +50,61 @@ def attack_hours(events: DataFrame, stamp: str = "observed_text", levels: list[s
     return counts_of(serious(events, levels).withColumn("__h", hour_as_written(F.col(stamp))).where("__h is not null"), "__h")
 
 
+def trend_counts(events: DataFrame, stamp: str = "observed_text", levels: list[str] = SERIOUS) -> DataFrame:
+    """(kind, key, n, first_seen) for kinds attacker, attack and hour of the serious rows, and one row of kind event for all rows.
+
+    Every event becomes a few (kind, key) pairs, so that one partially aggregated exchange counts all of them.
+    """
+    ip, hour = F.col("source_ip"), hour_as_written(F.col(stamp))
+    chosen = ip.isNotNull() & (ip != "") & F.col("threat_level").isin(levels) & ~is_private(ip)
+    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    any_event = F.array(pair("event", F.lit(None)))
+    none = F.slice(any_event, 1, 0)
+    attacks = F.coalesce(F.transform("alerts", lambda x: pair("attack", F.coalesce(x["type"], F.lit("unknown")))), none)
+    hours = F.when(hour.isNotNull(), F.array(pair("hour", hour))).otherwise(none)
+    pairs = F.when(chosen, F.concat(any_event, F.array(pair("attacker", ip)), hours, attacks)).otherwise(any_event)
+    rows = events.select("t_us", "packet_id", F.explode(pairs).alias("k"))
+    return rows.groupBy("k.kind", "k.key").agg(F.count("*").alias("n"), F.min(F.struct("t_us", "packet_id")).alias("first_seen"))
+
+
 def trend_report(events: DataFrame, stamp: str = "observed_text", levels: list[str] = SERIOUS) -> DataFrame:
     """(metric, key, n): unique attackers, top attacker, most common attack, peak hour, top five attackers.
 
-    The serious rows are cached: all five parts read them.  No events at all give no rows; events without a serious one give unique_attackers 0 alone.
+    No events at all give no rows; events without a serious one give unique_attackers 0 alone.  Both parts read
+    the same columns of the same counts, so Spark reuses their exchange and scores the events once.
     """
-    rows = serious(events, levels).select("t_us", "packet_id", "source_ip", "threat_level", "alerts", stamp).cache()  # read by every part
-    by_ip = counts_of(rows, "source_ip")
-    ranked = lambda df, metric, n: top(df, n).select(F.lit(metric).alias("metric"), "key", "n")
-    unique = by_ip.agg(F.count("*").alias("n")).select(F.lit("unique_attackers").alias("metric"), F.lit(None).cast("string").alias("key"), "n")
-    if events.isEmpty():
-        return unique.limit(0)
-    parts = [ranked(by_ip, "top_attacker", 1), ranked(attack_types(rows, levels), "most_common_attack", 1), ranked(attack_hours(rows, stamp, levels), "peak_attack_hour", 1), ranked(by_ip, "top_5_attackers", 5)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return unique.unionByName(out)
+    counted = trend_counts(events, stamp, levels)
+    is_kind = lambda kind: (F.col("kind") == kind) & (F.col("n") > 0) & F.col("first_seen").isNotNull()
+    unique = counted.agg(F.count_if(is_kind("attacker")).alias("n"), F.count_if(is_kind("event")).alias("events")).where("events > 0")
+    unique = unique.select(F.lit("unique_attackers").alias("metric"), F.lit(None).cast("string").alias("key"), "n")
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), F.asc("first_seen"), F.asc("key")))).where("rank <= 5")
+    metric = {"attacker": "top_attacker", "attack": "most_common_attack", "hour": "peak_attack_hour"}
+    first = F.array(*(F.when((F.col("kind") == kind) & (F.col("rank") == 1), name) for kind, name in metric.items()), F.when(F.col("kind") == "attacker", "top_5_attackers"))
+    tops = ranked.select(F.explode(F.array_compact(first)).alias("metric"), "key", "n")
+    return unique.unionByName(tops)
+
+
+def trend_summary(events: DataFrame, stamp: str = "observed_text", levels: list[str] = SERIOUS) -> DataFrame:
+    """The report as one row: unique_attackers, top_attacker, most_common_attack, peak_attack_hour, top_5_attackers (array of key and n).
+
+    No events at all give no row; without a serious event the number is 0, the keys are null and the list is empty.
+    """
+    is_metric = lambda name: F.col("metric") == name
+    only = lambda name, c: F.max(F.when(is_metric(name), F.col(c)))
+    # Ties keep the order of the report; at most eight rows arrive here.
+    five = F.collect_list(F.when(is_metric("top_5_attackers"), F.struct((-F.col("n")).alias("less"), "rank", "key", "n")))
+    rows = trend_report(events, stamp, levels).withColumn("rank", F.monotonically_increasing_id())
+    out = rows.groupBy().agg(
+        only("unique_attackers", "n").alias("unique_attackers"), *(only(m, "key").alias(m) for m in ("top_attacker", "most_common_attack", "peak_attack_hour")),
+        F.transform(F.array_sort(five), lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n"))).alias("top_5_attackers"),
+    )
+    return out.where("unique_attackers is not null")
+
+
+def unique_attackers(events: DataFrame, levels: list[str] = SERIOUS, error: float | None = None) -> DataFrame:
+    """n: how many sources have a serious event, exactly or (with ``error``) within that relative standard deviation by a sketch."""
+    ip = F.col("source_ip")
+    return serious(events, levels).agg((F.count_distinct(ip) if error is None else F.approx_count_distinct(ip, error)).alias("n"))
 
 
 def risk_profiles(events: DataFrame) -> DataFrame:

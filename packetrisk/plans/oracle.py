@@ -108,7 +108,7 @@ ORACLE: dict[str, str] = {
     "events_roundtrip": _with("sc", "SELECT packet_id, source_ip, packet_count, round(risk_score, 6) AS risk_score, threat_level FROM sc"),
     "events_count": "SELECT count(*) AS n FROM events",
     "events_clear": "SELECT count(*) AS before, 0::BIGINT AS after FROM events",
-    "alerts": _with("sc", "SELECT packet_id, 'SECURITY_ALERT' AS alert_type, source_ip, threat_level, round(risk_score, 6) AS risk_score FROM sc WHERE packet_id IN (SELECT packet_id FROM h WHERE emitted)", _held("(SELECT * FROM sc WHERE threat_level IN ('HIGH', 'CRITICAL'))", 30000000, ">=")),
+    "alerts": _with("sc", "SELECT packet_id, 'SECURITY_ALERT' AS alert_type, source_ip, threat_level, round(risk_score, 6) AS risk_score, 'Threat detected from ' || source_ip || ' with risk ' || round(risk_score, 2) AS message FROM sc WHERE packet_id IN (SELECT packet_id FROM h WHERE emitted)", _held("(SELECT * FROM sc WHERE threat_level IN ('HIGH', 'CRITICAL'))", 30000000, ">=")),
     "cooldown": _with("pk", "SELECT packet_id, source_ip, emitted FROM h", _held(_HIGH_VALUE, 30000000, ">=")),
     "block_ledger": _with("pk", "SELECT packet_id, source_ip, status, expires_us FROM l", _held(_BLOCKABLE, 120000000, ">") + ", " + _LEDGER),
     "block_status": _with("pk", "SELECT (SELECT count(*) FROM l WHERE expires_us >= (SELECT max(t_us) FROM l)) AS total_blocked, (SELECT string_agg(source_ip, ',' ORDER BY t_us DESC, packet_id DESC) FROM (SELECT * FROM l WHERE expires_us IS NOT NULL ORDER BY t_us DESC, packet_id DESC LIMIT 10)) AS recent_blocks", _held(_BLOCKABLE, 120000000, ">") + ", " + _LEDGER),
@@ -127,5 +127,6 @@ ORACLE: dict[str, str] = {
     "stream_scores": _with("sc", f"SELECT {_SCORED} FROM sc"),
     "stream_alerts": _with("sc", "SELECT packet_id, source_ip, threat_level, round(risk_score, 6) AS risk_score FROM sc WHERE packet_id IN (SELECT packet_id FROM h WHERE emitted)", _held("(SELECT * FROM sc WHERE threat_level IN ('HIGH', 'CRITICAL'))", 30000000, ">=")),
     "stream_sessions": _with("fl", "SELECT source_ip, destination_ip, max(packet_count) AS packet_count, max(unique_ports) AS unique_ports, min(t_us) AS first_us, max(t_us) AS last_us FROM fl GROUP BY source_ip, destination_ip, session"),
-    "stream_trends": _with("pk", "SELECT source_ip, count(*) AS n, max(packet_length)::DOUBLE AS max_risk, sum(packet_length)::DOUBLE AS total_risk FROM pk GROUP BY source_ip"),
+    "stream_trends": _with("sc", "SELECT source_ip, count(*) AS n, round(max(risk_score), 6) AS max_risk, round(sum(risk_score), 4) AS total_risk FROM sc GROUP BY source_ip"),
+    "stream_attackers": _with("lo", _TOP.format("lo", 5)),
 }

@@ -183,7 +183,8 @@ def events_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def events_count(spark: SparkSession, sf: str) -> DataFrame:
     folder = streams.work_folder(spark)
     event_store.append_events(events.stored_events(_scored(spark, sf)), folder)
-    return event_store.read_events(spark, folder).agg(F.count("*").alias("n"))
+    n = event_store.count_events(spark, folder)
+    return mapping.packets(spark, sf).limit(1).select(F.lit(n).cast("long").alias("n"))
 
 
 def events_clear(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,7 +195,7 @@ def events_clear(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
-    return response.alerts(_scored(spark, sf)).select("packet_id", "alert_type", "source_ip", "threat_level", r6("risk_score"))
+    return response.alerts(_scored(spark, sf)).select("packet_id", "alert_type", "source_ip", "threat_level", r6("risk_score"), "message")
 
 
 def cooldown(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,7 +301,11 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_trends(spark: SparkSession, sf: str) -> DataFrame:
-    return streams.stream_trends(spark, sf).select("source_ip", "n", "max_risk", "total_risk")
+    return streams.stream_trends(spark, sf).select("source_ip", "n", r6("max_risk"), F.round("total_risk", 4).alias("total_risk"))
+
+
+def stream_attackers(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.stream_attackers(spark, sf, LOWERED).select("key", "n")
 
 
 QUERIES: dict[str, Query] = {
@@ -311,5 +316,5 @@ QUERIES: dict[str, Query] = {
     "events_roundtrip": events_roundtrip, "events_count": events_count, "events_clear": events_clear, "alerts": alerts, "cooldown": cooldown, "block_ledger": block_ledger, "block_status": block_status,
     "attackers": attackers, "attack_types": attack_types, "attack_hours": attack_hours, "trend_summary": trend_summary, "ip_risk_profile": ip_risk_profile, "ip_risk_top": ip_risk_top,
     "threat_table": threat_table, "geo_points": geo_points, "training_clean": training_clean, "iforest_scores": iforest_scores, "score_packets": score_all, "score_hot_sources": score_hot_sources,
-    "stream_scores": stream_scores, "stream_alerts": stream_alerts, "stream_sessions": stream_sessions, "stream_trends": stream_trends,
+    "stream_scores": stream_scores, "stream_alerts": stream_alerts, "stream_sessions": stream_sessions, "stream_trends": stream_trends, "stream_attackers": stream_attackers,
 }

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetrisk.operators import analytics
 from packetrisk.sources import mapping
 from packetrisk.streaming import live
 
@@ -82,14 +83,33 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(live.live_sessions(replay(spark, sf_dir, folder)), folder, "sessions").where("source_ip <> 'sentinel'")
 
 
+def kept_table(changes: DataFrame, folder: str, key: str) -> DataFrame:
+    """Run a stream of changed rows to its end; each micro-batch writes only what it changed, and the last row of a key counts.
+
+    A batch that runs again after a failure replaces its own folder.
+    """
+    spark = changes.sparkSession
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+    with state_store(spark):
+        changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/table-state").trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in changes.columns if c != key]
+    rows = spark.read.schema(changes.schema.add("batch", "long")).parquet(f"{folder}/table")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(key, "last.*")
+
+
+def _scores_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """A stream over the sink of live scores, a few files at a time."""
+    scores = drain(live.live_scores(replay(spark, sf_dir, folder), mapping.rdns(spark, sf_dir)), folder, "scores")
+    return spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/scores").where("source_ip <> 'sentinel'")
+
+
 def stream_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trend table kept by a stream: every micro-batch replaces it with the counts so far."""
+    """The trend table of live scores, kept by a stream."""
     folder = work_folder(spark)
-    packets = mapping.packets(spark, sf_dir).select(*live.ACTIVITY_IN)
-    packets.repartitionByRange(4, "t_us").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    counts = live.live_trends(stream.withColumn("risk_score", F.col("packet_length").cast("double")))
-    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/trends")
-    with state_store(spark):
-        counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/trends")
+    return kept_table(live.live_trends(_scores_stream(spark, sf_dir, folder)), folder, "source_ip")
+
+
+def stream_attackers(spark: SparkSession, sf_dir: str, levels: list[str]) -> DataFrame:
+    """The top attackers of live scores: counts kept by a stream, cut to the first five."""
+    folder = work_folder(spark)
+    return analytics.top(kept_table(live.live_attackers(_scores_stream(spark, sf_dir, folder), levels), folder, "key"), 5)

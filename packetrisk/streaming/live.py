@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from packetrisk.config import DEFAULTS, RiskConfig
+from packetrisk.config import DEFAULTS, SERIOUS, RiskConfig
+from packetrisk.operators.analytics import counts_of, serious
 from packetrisk.operators.isolation_forest import Forest
 from packetrisk.operators.response import alert_candidates
 from packetrisk.operators.trust import with_trust
@@ -29,8 +30,17 @@ ACTIVITY = (
 STATE = "blob binary"
 
 
+def _ms(row: dict) -> int:
+    return row["timestamp"].value // 1_000_000
+
+
 class _Ordered(StatefulProcessor):
-    """Holds rows of a key until the watermark passes their timestamp, then hands them on in order."""
+    """Holds rows of a key until the watermark passes their timestamp, then hands them on in order.
+
+    Once the watermark is ``idle_s`` past a key's last row, ``expire`` drops what no later row can need.
+    """
+
+    idle_s: float = 0.0
 
     def fresh(self) -> dict:
         raise NotImplementedError
@@ -38,9 +48,9 @@ class _Ordered(StatefulProcessor):
     def step(self, key: str, memory: dict, row: dict) -> dict | None:
         raise NotImplementedError
 
-    def tidy(self, memory: dict) -> bool:
-        """Whether anything is left worth keeping."""
-        return True
+    def expire(self, memory: dict, idle_ms: int) -> bool:
+        """Drop what has run out after ``idle_ms`` without rows; whether anything is left worth keeping."""
+        return False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -51,12 +61,19 @@ class _Ordered(StatefulProcessor):
 
     def _release(self, key, waiting: list[dict], memory: dict, watermark_ms: int) -> Iterator[pd.DataFrame]:
         waiting.sort(key=lambda r: (r["t_us"], r["packet_id"]))
-        ready = [r for r in waiting if r["timestamp"].value // 1_000_000 < watermark_ms]
+        ready = [r for r in waiting if _ms(r) < watermark_ms]
         rest = waiting[len(ready) :]
         out = [x for x in (self.step(key, memory, r) for r in ready) if x is not None]
+        if ready:
+            memory["seen"] = _ms(ready[-1])
+        keep, ends = True, memory["seen"] + int(self.idle_s * 1000) + 1 if "seen" in memory else None
         if rest:
-            self.handle.registerTimer(rest[0]["timestamp"].value // 1_000_000 + 1)
-        if rest or self.tidy(memory):
+            self.handle.registerTimer(_ms(rest[0]) + 1)
+        elif ends is not None and watermark_ms < ends:
+            self.handle.registerTimer(ends)
+        elif ends is not None:
+            keep = self.expire(memory, watermark_ms - memory["seen"])
+        if keep:
             self.state.update((pickle.dumps((rest, memory)),))
         else:
             self.state.clear()
@@ -70,6 +87,8 @@ class _Ordered(StatefulProcessor):
         yield from self._release(key[0], waiting, memory, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
         waiting, memory = self._load()
         yield from self._release(key[0], waiting, memory, timerValues.getCurrentWatermarkInMs())
 
@@ -78,10 +97,30 @@ class _Ordered(StatefulProcessor):
 
 
 class ActivityProcessor(_Ordered):
-    """Flow counters, trailing counts and drift of one source; flows nest under their source."""
+    """Flow counters, trailing counts and drift of one source; flows nest under their source.
+
+    An idle source keeps only the short history that its drift is measured against.  With ``forget_s`` that goes
+    too, a time after the last row: state is then bounded by the sources of that time, and a source that returns
+    later starts without history.
+    """
 
     config: RiskConfig = DEFAULTS
 
+    def __init__(self, forget_s: float | None = None):
+        c = self.config
+        self.idle_s = float(max(c.flow_timeout_s, c.density_window_s, c.packet_rate_window_s, c.rate_limit_window_s))
+        self.forget_s = None if forget_s is None else max(self.idle_s, forget_s)
+
+    def expire(self, memory: dict, idle_ms: int) -> bool:
+        memory["flows"], memory["times"] = {}, []
+        if self.forget_s is None:
+            return bool(memory["counts"])
+        ends = int(self.forget_s * 1000) + 1
+        if idle_ms < ends:
+            self.handle.registerTimer(memory["seen"] + ends)
+            return True
+        return False
+
     def fresh(self) -> dict:
         return {"flows": {}, "times": [], "counts": [], "swept": 0}
 
@@ -111,10 +150,13 @@ class ActivityProcessor(_Ordered):
 
 
 class CooldownProcessor(_Ordered):
-    """Emits a row unless one was emitted less than the cooldown before."""
+    """Emits a row unless one was emitted less than the cooldown before; a source idle for the cooldown leaves no state."""
 
     config: RiskConfig = DEFAULTS
 
+    def __init__(self):
+        self.idle_s = float(self.config.alert_cooldown_s)
+
     def fresh(self) -> dict:
         return {"last": None}
 
@@ -129,13 +171,13 @@ def _keyed(df: DataFrame, processor: StatefulProcessor, schema) -> DataFrame:
     return df.groupBy("source_ip").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
 
 
-def live_activity(packets: DataFrame, delay: str = "5 seconds") -> DataFrame:
-    """Streaming form of the activity step. Needs the RocksDB state store provider."""
-    return _keyed(packets.select(*ACTIVITY_IN).withWatermark("timestamp", delay), ActivityProcessor(), ACTIVITY)
+def live_activity(packets: DataFrame, delay: str = "5 seconds", forget_s: float | None = None) -> DataFrame:
+    """Streaming form of the activity step. Needs the RocksDB state store provider. ``forget_s``: see ActivityProcessor."""
+    return _keyed(packets.select(*ACTIVITY_IN).withWatermark("timestamp", delay), ActivityProcessor(forget_s), ACTIVITY)
 
 
-def live_scores(packets: DataFrame, rdns: DataFrame, delay: str = "5 seconds", config: RiskConfig = DEFAULTS, forest: Forest | None = None) -> DataFrame:
-    df = flagged(live_activity(packets, delay), forest).withColumn("rate_limited", F.col("rate_10s") > config.rate_limit_packets)
+def live_scores(packets: DataFrame, rdns: DataFrame, delay: str = "5 seconds", config: RiskConfig = DEFAULTS, forest: Forest | None = None, forget_s: float | None = None) -> DataFrame:
+    df = flagged(live_activity(packets, delay, forget_s), forest).withColumn("rate_limited", F.col("rate_10s") > config.rate_limit_packets)
     return assess(with_trust(detect(df, config), rdns), config)
 
 
@@ -156,3 +198,8 @@ def live_sessions(packets: DataFrame, delay: str = "5 seconds", config: RiskConf
 def live_trends(scored: DataFrame) -> DataFrame:
     """Running counts and largest risks per source, for output mode complete or update."""
     return scored.groupBy("source_ip").agg(F.count("*").alias("n"), F.max("risk_score").alias("max_risk"), F.sum("risk_score").alias("total_risk"))
+
+
+def live_attackers(scored: DataFrame, levels: list[str] = SERIOUS) -> DataFrame:
+    """Running counts of each source's serious rows and its first one; ``analytics.top`` of them are the top attackers."""
+    return counts_of(serious(scored, levels), "source_ip")
