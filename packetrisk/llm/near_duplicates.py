@@ -289,7 +289,7 @@ def _colliding(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs with den * intersection >= num * union on full sets."""
+    """Table of the pairs with den * intersection >= num * union on full sets; the sets are deleted once compared."""
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +313,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     left, right = (sides.select(F.col("vid").alias(s), F.col("members").alias(f"m{s}")) for s in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long")
+    good = stored(pairs.join(right, "b").join(left, "a").select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long"))
+    discard(ids, sides)
+    return good
 
 
 def near_duplicates(df: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), coordinates: int = 128, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -339,18 +341,18 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: tuple[int, int] = (80,
     merged = stored(_merge(_postings(classes, coordinates, prefix, _slot_counts(classes, coordinates)), ratio))
     pairs = stored(merged.where("token is null").select("a", "b").distinct())
     near = stored(_colliding(pairs, classes, least))
-    links = stored(_confirmed(near, docs, k, num, den))
+    links = _confirmed(near, docs, k, num, den)
     comps = stored(connected_components(links))
     opened = stored(_open_lists(merged.where("token is not null"), comps))
     discard(merged, pairs)
     if opened.limit(1).count():
         more = stored(_counted_pairs(opened.join(classes.select("vid", "low"), "vid"), ratio, least).join(near, ["a", "b"], "left_anti"))
-        found = stored(_confirmed(more, docs, k, num, den))
+        found = _confirmed(more, docs, k, num, den)
         stars = comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         joined = stored(connected_components(stars.union(found)))
-        discard(more, found, links, comps)
+        discard(more, found, comps)
         comps = joined
-    discard(near, opened)
+    discard(near, opened, links)
     member = classes.select("n", "k1", "k2", "vid").join(comps.withColumnRenamed("node", "vid"), "vid", "left").select("n", "k1", "k2", F.coalesce("component", "vid").alias("class_id"))
     out = rows.select("doc_id", "n", "k1", "k2", F.col("sig").isNotNull().alias("full")).join(member, ["n", "k1", "k2"], "left")
     component = F.when(F.col("full"), F.col("class_id")).otherwise(F.col("doc_id"))
