@@ -14,23 +14,26 @@ def alert_candidates(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("threat_level").isin(SERIOUS))
 
 
-def alerts(scored: DataFrame, config: RiskConfig = DEFAULTS) -> DataFrame:
-    """Emitted alerts of the serious rows: at most one per source in the cooldown."""
+def alerts(scored: DataFrame, config: RiskConfig = DEFAULTS, chunk_holds: int | None = None) -> DataFrame:
+    """Emitted alerts of the serious rows: at most one per source in the cooldown; ``chunk_holds`` spreads busy sources (see ``suppress``)."""
     rows = alert_candidates(scored).select("packet_id", "t_us", "source_ip", "threat_level", "risk_score")
-    kept = suppress(rows, config.alert_cooldown_s, inclusive=True, carry=("threat_level", "risk_score")).where("emitted")
+    kept = suppress(rows, config.alert_cooldown_s, inclusive=True, carry=("threat_level", "risk_score"), chunk_holds=chunk_holds).where("emitted")
     message = F.concat(F.lit("Threat detected from "), "source_ip", F.lit(" with risk "), F.round("risk_score", 2).cast("string"))
     return kept.select(
         "packet_id", "t_us", F.lit("SECURITY_ALERT").alias("alert_type"), "source_ip", "threat_level", "risk_score", message.alias("message")
     )
 
 
-def block_ledger(candidates: DataFrame, config: RiskConfig = DEFAULTS) -> DataFrame:
-    """(packet_id, t_us, source_ip, status, expires_us) of every candidate; a block lasts while no more than the hold has passed."""
+def block_ledger(candidates: DataFrame, config: RiskConfig = DEFAULTS, chunk_holds: int | None = None) -> DataFrame:
+    """(packet_id, t_us, source_ip, status, expires_us) of every candidate; a block lasts while no more than the hold has passed.
+
+    ``chunk_holds`` spreads busy sources over tasks (see ``suppress``).
+    """
     rows = candidates.select("packet_id", "t_us", "source_ip")
     ip = F.col("source_ip")
     refused = F.when(~is_ipv4_shape(ip), "Invalid IP").when(is_private(ip), "Skipped (Local/Private IP)")
     judged = rows.withColumn("refused", refused)
-    flags = suppress(judged.where("refused is null"), config.block_hold_s, inclusive=False).select("packet_id", "emitted")
+    flags = suppress(judged.where("refused is null"), config.block_hold_s, inclusive=False, chunk_holds=chunk_holds).select("packet_id", "emitted")
     status = F.coalesce("refused", F.when(F.col("emitted"), F.concat(F.lit("Blocked IP: "), ip)).otherwise("Already Blocked"))
     out = judged.join(flags, "packet_id", "left").withColumn("status", status)
     return out.select("packet_id", "t_us", "source_ip", "status", F.when(F.col("emitted"), F.col("t_us") + config.block_hold_s * 1_000_000).alias("expires_us"))

@@ -198,20 +198,24 @@ def alerts(spark: SparkSession, sf: str) -> DataFrame:
     return response.alerts(_scored(spark, sf)).select("packet_id", "alert_type", "source_ip", "threat_level", r6("risk_score"), "message")
 
 
+#: Holds of a source that one task reads in the suppression of raw packets, where a source may send without a pause.
+CHUNK_HOLDS = 64
+
+
 def cooldown(spark: SparkSession, sf: str) -> DataFrame:
     """The suppression step on every high-value packet."""
     rows = mapping.packets(spark, sf).where("value > 100")
-    return suppress(rows, 30, inclusive=True).select("packet_id", "source_ip", "emitted")
+    return suppress(rows, 30, inclusive=True, chunk_holds=CHUNK_HOLDS).select("packet_id", "source_ip", "emitted")
 
 
 def block_ledger(spark: SparkSession, sf: str) -> DataFrame:
     rows = mapping.packets(spark, sf).where("value > 100")
-    return response.block_ledger(rows).select("packet_id", "source_ip", "status", "expires_us")
+    return response.block_ledger(rows, chunk_holds=CHUNK_HOLDS).select("packet_id", "source_ip", "status", "expires_us")
 
 
 def block_status(spark: SparkSession, sf: str) -> DataFrame:
     rows = mapping.packets(spark, sf).where("value > 100")
-    return response.block_status(response.block_ledger(rows)).select("total_blocked", F.array_join("recent_blocks", ",").alias("recent_blocks"))
+    return response.block_status(response.block_ledger(rows, chunk_holds=CHUNK_HOLDS)).select("total_blocked", F.array_join("recent_blocks", ",").alias("recent_blocks"))
 
 
 LOWERED = ["MEDIUM", "HIGH", "CRITICAL"]
