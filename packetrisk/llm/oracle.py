@@ -42,4 +42,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLE = {"op2_winnowing": DECONTAMINATION, "op5_coordinate_join": NEAR_DUPLICATES, "op6_chat_parts": CHATS}
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda s: [ascii(s)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda r, s: CASE WHEN s >= 0 THEN xor(r, s) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END), 4294967295)"
+
+TRIE = f"""
+WITH own AS (SELECT conv_id AS c, list(struct_pack(s := sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), b := strlen(coalesce(text, ''))) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+cut AS (SELECT *, {_CRC} % 9 AS h FROM own),
+rebuilt AS (SELECT cut.c, list_concat(coalesce(list_slice(o.ts, 1, h), []), list_slice(cut.ts, h + 1, len(cut.ts))) AS ts FROM cut LEFT JOIN own o ON o.c = cut.c - cut.c % 5),
+px AS (SELECT c, d, len(ts) AS n, array_to_string(list_transform(list_slice(ts, 1, d), lambda x: x.s), ',') AS k, array_to_string(list_transform(list_slice(ts, 1, d - 1), lambda x: x.s), ',') AS up, coalesce(ts[d].b, 0) AS b
+  FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM rebuilt)),
+node AS (SELECT d, k, any_value(up) AS up, min(c) AS conv_id, count(*) AS n, any_value(b) AS b, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (px.n = d), '')) AS ends FROM px GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+below AS (SELECT DISTINCT x.d, x.k, y.d AS bd, y.k AS bk FROM px x JOIN px y ON x.c = y.c AND y.d >= x.d),
+sums AS (SELECT below.d, below.k, sum((node.n - 1) * node.b)::BIGINT AS saved, count(*) FILTER (kids.n IS NULL) AS leaves FROM below JOIN node ON bd = node.d AND bk = node.k LEFT JOIN kids ON bd = kids.d AND bk = kids.k GROUP BY below.d, below.k)
+SELECT node.conv_id, node.d AS depth, above.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, node.ends AS ends_sha256
+FROM node JOIN sums USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN node above ON above.d = node.d - 1 AND above.k = node.up AND node.d > 0
+"""
+
+ORACLE = {"op2_winnowing": DECONTAMINATION, "op5_coordinate_join": NEAR_DUPLICATES, "op6_chat_parts": CHATS, "op13_zfast_trie": TRIE}
