@@ -59,4 +59,18 @@ SELECT node.conv_id, node.d AS depth, above.conv_id AS parent_conv_id, node.n AS
 FROM node JOIN sums USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN node above ON above.d = node.d - 1 AND above.k = node.up AND node.d > 0
 """
 
-ORACLE = {"op2_winnowing": DECONTAMINATION, "op5_coordinate_join": NEAR_DUPLICATES, "op6_chat_parts": CHATS, "op13_zfast_trie": TRIE}
+PHRASES = f"""
+WITH w AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+one AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f AS (SELECT lang, k, p, count(*) AS n FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p FROM one, range(1, 6) t(k) WHERE i + k - 1 <= len(w)) GROUP BY ALL HAVING count(*) >= 100),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT *, string_split(p, ' ') AS q FROM f WHERE k > 1),
+inside AS (SELECT lang, p, max(n) AS longer FROM (SELECT lang, n, array_to_string(q[i:i + m - 1], ' ') AS p FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) t(m) WHERE m < k)) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, p) WHERE longer IS NULL OR 100 * longer < 100 * n),
+cuts AS (SELECT kept.lang, kept.p, kept.n AS a, l.n AS l, r.n AS r, total.n, j, (1000::HUGEINT * kept.n * total.n) // (l.n::HUGEINT * r.n) AS s FROM (SELECT *, unnest(range(1, k)) AS j FROM kept) kept
+  JOIN f l ON l.lang = kept.lang AND l.p = array_to_string(q[1:j], ' ') JOIN f r ON r.lang = kept.lang AND r.p = array_to_string(q[j + 1:], ' ') JOIN total ON total.lang = kept.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY s, j) = 1)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY s DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, s::BIGINT AS score FROM best) WHERE rank <= 2000
+"""
+
+ORACLE = {"op2_winnowing": DECONTAMINATION, "op5_coordinate_join": NEAR_DUPLICATES, "op6_chat_parts": CHATS, "op11_dynamic_phrases": PHRASES, "op13_zfast_trie": TRIE}

@@ -21,6 +21,7 @@ WHERE = {
     "op8_html_blocks": "html",
     "op9_license_index": "licenses",
     "op10_two_stage_suffixes": "repeated_bytes",
+    "op11_dynamic_phrases": "collocations",
     "op12_kneser_ney_language": "language_id",
     "op13_zfast_trie": "prefix_trie",
 }
