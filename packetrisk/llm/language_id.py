@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetrisk.llm.store import discard, stored
+from packetrisk.llm.store import BROADCAST_IDS, discard, small, stored
 from packetrisk.llm.textops import column, mix
 from packetrisk.llm.toxicity import fit_curve
 
@@ -28,6 +28,8 @@ BITS = 21
 CHAR = (1 << BITS) - 1
 #: Text characters of a block, and characters of a long text that are split into words at once.
 BLOCK_CHARS, PART_CHARS = 16_000_000, 2_000_000
+#: Documents of a block in one row.
+DOCS = 500
 #: Entries of the model in one bucket, about.
 BUCKET_ENTRIES = 100_000
 #: Labelled rows of the calibration fold that fit the curve of the score.
@@ -39,7 +41,10 @@ _WORD, _GAP = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 _BEGIN, _END = "\x01" * (ORDER - 1), "\x02"
 _U = np.uint64
 
-PROFILE = "kind int, block long, doc_id long, held boolean, lang string, crc long, n long, ids binary, times binary, words string, hi binary, lo binary"
+PROFILE = (
+    "kind int, block long, lang string, words string, hi binary, lo binary, times binary, ids binary, sizes array<int>, "
+    "doc_id array<long>, held array<boolean>, label array<string>, crc array<long>"
+)
 
 
 def letters(text: str) -> Iterator[list[str]]:
@@ -93,6 +98,16 @@ def _context(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hi >> _U(BITS), (lo >> _U(BITS)) | ((hi & _U(CHAR)) << _U(2 * BITS))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """32-bit numbers compressed byte plane by byte plane."""
+    return pa.compress(np.ascontiguousarray(values.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
 class Grams:
     """The distinct n-grams of a block's words and where the model's entries for them stand among its sorted ``keys``."""
 
@@ -117,11 +132,14 @@ class Grams:
 
 
 def profiles(rows: DataFrame) -> DataFrame:
-    """Blocks of (doc_id, __text, __held, __lang, __crc, __use): kind 0 the words of a block, 1 a document (its words' numbers, how
-    often each, characters), 2 the n-gram counts of the block's training texts (``__use``) of one language."""
+    """Blocks of (doc_id, __text, __held, __lang, __crc, __use): kind 0 the words of a block, 1 some of its documents (each one's words' numbers
+    and how often each), 2 the n-gram counts of the block's training texts (``__use``) of one language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("lang", pa.string()), ("crc", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("ids", "times")), ("words", pa.string()), ("hi", pa.binary()), ("lo", pa.binary())])
+        schema = pa.schema([
+            ("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("words", pa.string()), *((c, pa.binary()) for c in ("hi", "lo", "times", "ids")),
+            *((c, pa.list_(t)) for c, t in (("sizes", pa.int32()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("label", pa.string()), ("crc", pa.int64()))),
+        ])
         names = [f.name for f in schema]
         block, numbers, docs, taken, training = TaskContext.get().partitionId() << 32, Numbers(), [], 0, {}
         made = lambda rows: pa.RecordBatch.from_pylist([{c: r.get(c) for c in names} for r in rows], schema)
@@ -129,8 +147,10 @@ def profiles(rows: DataFrame) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             words = [w for w, i in numbers.items() if i >= 0]
             yield made([{"kind": 0, "block": block, "words": " ".join(words)}])
-            for i in range(0, len(docs), 500):
-                yield made(docs[i : i + 500])
+            for i in range(0, len(docs), DOCS):
+                some = docs[i : i + DOCS]
+                ids, times = (np.concatenate([d[k] for d in some]) for k in (4, 5))
+                yield made([{"kind": 1, "block": block, **{c: [d[k] for d in some] for k, c in enumerate(("doc_id", "held", "label", "crc"))}, "ids": packed(ids), "times": packed(times), "sizes": [len(d[4]) for d in some]}])
             if not training:
                 return
             hi, lo, first = word_grams(words)
@@ -153,7 +173,7 @@ def profiles(rows: DataFrame) -> DataFrame:
                 for words in letters(text or ""):
                     some, many = np.unique(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)), return_counts=True)
                     ids, times = np.append(ids, some[some >= 0]), np.append(times, many[some >= 0])
-                docs.append({"kind": 1, "block": block, "doc_id": doc, "held": held, "lang": lang, "crc": crc, "ids": np.diff(ids, prepend=np.int32(0)).tobytes(), "times": times.astype(np.int32).tobytes()})
+                docs.append((doc, held, lang, crc, np.diff(ids, prepend=np.int32(0)), times.astype(np.int32)))
                 if use and len(ids):
                     training.setdefault(lang, []).append((ids, times))
         if docs:
@@ -192,7 +212,8 @@ def model_entries(levels: DataFrame) -> DataFrame:
     above = [F.shiftright("hi", BITS).alias("hi"), F.expr(f"shiftright(lo, {BITS}) | shiftleft(hi & {CHAR}L, {2 * BITS})").alias("lo")]
     contexts = levels.select("order", "lang", *above, "n").groupBy("order", "lang", "hi", "lo").agg(F.sum("n").alias("n"), F.count("*").alias("types"))
     both = levels.select("order", F.lit(0).alias("context"), "hi", "lo", "lang", "n", F.lit(None).cast("long").alias("types")).unionByName(contexts.withColumn("context", F.lit(1)))
-    both = both.join(cuts, ["order", "lang"])
+    cuts = stored(cuts)
+    both = both.join(F.broadcast(cuts) if small(cuts, BROADCAST_IDS) else cuts, ["order", "lang"])
     first = F.when(F.col("context") == 0, F.col("n") - F.col("cut")).otherwise(F.col("n"))
     return both.select("order", "context", "hi", "lo", "lang", first.cast("double").alias("first"), F.coalesce(F.col("cut") * F.col("types") / F.col("n"), F.lit(0.0)).alias("second"))
 
@@ -286,7 +307,7 @@ def _judged(blocks: DataFrame, answers: DataFrame, base: float) -> DataFrame:
 
     A block is its words, its documents and the answers by language, in this order; the model's values of one language are held at a time.
     """
-    texts = blocks.where("kind < 2").select("block", "kind", "doc_id", "held", "lang", "crc", "ids", "times", "words")
+    texts = blocks.where("kind < 2").select("block", "kind", "doc_id", "held", "label", "crc", "ids", "times", "sizes", "words")
     rows = texts.unionByName(answers.withColumn("kind", F.lit(2)), allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +336,9 @@ class _Block:
             self.grams = Grams(row["words"].split(" ")) if row["words"] else None
             self.chars = np.array([len(w) + 1 for w in row["words"].split(" ")] if row["words"] else [], dtype=np.int64)
         elif row["kind"] == 1:
-            self.docs.append((row["doc_id"], row["held"], row["lang"], row["crc"], np.cumsum(np.frombuffer(row["ids"], np.int32)), np.frombuffer(row["times"], np.int32)))
+            n, edges = sum(row["sizes"]), np.cumsum(row["sizes"])[:-1]
+            ids, times = (np.split(unpacked(row[c], n), edges) for c in ("ids", "times"))
+            self.docs += zip(row["doc_id"], row["held"], row["label"], row["crc"], map(np.cumsum, ids), times)
         else:
             if row["lang"] != self.lang or not self.ready:
                 self.finish()
