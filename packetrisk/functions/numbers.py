@@ -26,6 +26,20 @@ def ip_or_unknown(c: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown"))
 
 
+def cents(c: Column) -> Column:
+    """The double rounded to two decimals by its exact binary value, ties to even (2.675 is less than it looks: 2.67; 0.125: 0.12).
+
+    ``c * 100`` is itself rounded; only where it falls on a half does its error (Dekker's product) decide.
+    """
+    scaled = c * F.lit(100.0)
+    spread = c * F.lit(134217729.0)
+    high = spread - (spread - c)
+    error = (high * F.lit(100.0) - scaled) + (c - high) * F.lit(100.0)
+    half = F.abs(scaled - F.floor(scaled) - F.lit(0.5)) == 0
+    whole = F.when(half & (error > 0), F.ceil(scaled).cast("double")).when(half & (error < 0), F.floor(scaled).cast("double")).otherwise(F.rint(scaled))
+    return whole / F.lit(100.0)
+
+
 def capped_ratio(x: Column, most: float) -> Column:
     """x / most, at most 1; 0 where most is 0."""
     return F.least(x / F.lit(float(most)), F.lit(1.0)) if most else F.lit(0.0)

@@ -37,11 +37,9 @@ def flow_snapshots(packets: DataFrame, config: RiskConfig = DEFAULTS) -> DataFra
     return df.withColumn("unique_ports", F.sum("__port").over(session.rowsBetween(Window.unboundedPreceding, 0))).drop("__new", "__port")
 
 
-def flow_sessions(snapshots: DataFrame, at_us: int | None = None, config: RiskConfig = DEFAULTS) -> DataFrame:
-    """Final counters of each session, and whether it is active at ``at_us`` (default: the last packet of the table)."""
+def flow_sessions(snapshots: DataFrame, at_us: int, config: RiskConfig = DEFAULTS) -> DataFrame:
+    """Final counters of each session, and whether it is active at ``at_us``."""
     out = snapshots.groupBy(*FLOW, "session").agg(
         F.max("packet_count").alias("packet_count"), F.max("unique_ports").alias("unique_ports"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us")
     )
-    if at_us is None:
-        at_us = snapshots.agg(F.max("t_us")).first()[0] or 0
     return out.withColumn("active", F.lit(at_us) - F.col("last_us") <= config.flow_timeout_s * 1_000_000)

@@ -39,11 +39,14 @@ _STEPS = {
     "ba": "SELECT *, (0.4::DOUBLE * s + 0.3::DOUBLE * a + 0.2::DOUBLE * t + 0.1::DOUBLE * (b + r)) * 100.0::DOUBLE AS base_risk FROM co",
     "da": "SELECT *, CASE WHEN signal_strength <= 1 THEN base_risk * 0.4::DOUBLE WHEN signal_strength = 2 THEN base_risk * 0.7::DOUBLE ELSE base_risk END AS d1 FROM ba",
     "ri": "SELECT *, least(CASE WHEN trust > 0.5::DOUBLE AND signal_strength < 3 THEN d1 * 0.3::DOUBLE ELSE d1 END, 100.0::DOUBLE) AS risk FROM da",
+    "rp": "SELECT *, risk * 100.0::DOUBLE AS p, risk * 134217729.0::DOUBLE - (risk * 134217729.0::DOUBLE - risk) AS hi FROM ri",
+    "re": "SELECT *, (hi * 100.0::DOUBLE - p) + (risk - hi) * 100.0::DOUBLE AS err, p - floor(p) = 0.5::DOUBLE AS half FROM rp",
+    "rr": "SELECT *, CASE WHEN half AND err > 0 THEN ceil(p) WHEN half AND err < 0 THEN floor(p) ELSE round_even(p, 0) END / 100.0::DOUBLE AS rounded FROM re",
     "sc": f"""SELECT packet_id, t_us, ts, value, source_ip, destination_ip, protocol, src_port, dst_port, packet_length, packet_count, unique_ports, signature_score, alert_types, matched_rules, rule_score, anomaly_detected, signal_strength, c10 > 50 AS rate_limited,
-  {LOCAL} AS is_local, CASE WHEN {LOCAL} THEN 'local' ELSE dom END AS domain, CASE WHEN {LOCAL} THEN 1.0::DOUBLE ELSE trust END AS trust_score, CASE WHEN {LOCAL} THEN 0.0::DOUBLE ELSE risk END AS risk_score,
+  {LOCAL} AS is_local, CASE WHEN {LOCAL} THEN 'local' ELSE dom END AS domain, CASE WHEN {LOCAL} THEN 1.0::DOUBLE ELSE trust END AS trust_score, CASE WHEN {LOCAL} THEN 0.0::DOUBLE ELSE rounded END AS risk_score,
   CASE WHEN {LOCAL} THEN 0 ELSE c30 END AS packet_rate, CASE WHEN {LOCAL} THEN 0 ELSE c60 END AS temporal_attack_density, CASE WHEN {LOCAL} THEN 0.0::DOUBLE ELSE drift END AS behavioral_drift,
   CASE WHEN {LOCAL} THEN 'LOW' WHEN risk >= 90 THEN 'CRITICAL' WHEN risk >= 75 THEN 'HIGH' WHEN risk >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS threat_level,
-  CASE WHEN {LOCAL} THEN 'Ignored (Local Traffic)' WHEN risk >= 90 AND signal_strength >= 3 THEN 'Would Block (Simulation): ' || source_ip ELSE 'Monitored' END AS response_action FROM ri""",
+  CASE WHEN {LOCAL} THEN 'Ignored (Local Traffic)' WHEN risk >= 90 AND signal_strength >= 3 THEN 'Would Block (Simulation): ' || source_ip ELSE 'Monitored' END AS response_action FROM rr""",
     "lo": f"SELECT * FROM sc WHERE threat_level IN ('MEDIUM', 'HIGH', 'CRITICAL') AND source_ip <> '' AND NOT {PRIVATE}",
     "se": "SELECT * FROM lo WHERE threat_level IN ('HIGH', 'CRITICAL')",
     "pr": """SELECT source_ip, count(*) AS n, sum(risk_score) AS total_risk, greatest(0.0::DOUBLE, max(risk_score)) AS max_risk, sum(risk_score) / count(*) AS avg_risk, arg_max(threat_level, t_us * 1000000 + packet_id) AS latest_threat, max(t_us) AS last_us,
@@ -108,7 +111,7 @@ ORACLE: dict[str, str] = {
     "events_roundtrip": _with("sc", "SELECT packet_id, source_ip, packet_count, round(risk_score, 6) AS risk_score, threat_level FROM sc"),
     "events_count": "SELECT count(*) AS n FROM events",
     "events_clear": "SELECT count(*) AS before, 0::BIGINT AS after FROM events",
-    "alerts": _with("sc", "SELECT packet_id, 'SECURITY_ALERT' AS alert_type, source_ip, threat_level, round(risk_score, 6) AS risk_score, 'Threat detected from ' || source_ip || ' with risk ' || round(risk_score, 2) AS message FROM sc WHERE packet_id IN (SELECT packet_id FROM h WHERE emitted)", _held("(SELECT * FROM sc WHERE threat_level IN ('HIGH', 'CRITICAL'))", 30000000, ">=")),
+    "alerts": _with("sc", "SELECT packet_id, 'SECURITY_ALERT' AS alert_type, source_ip, threat_level, round(risk_score, 6) AS risk_score, 'Threat detected from ' || source_ip || ' with risk ' || risk_score AS message FROM sc WHERE packet_id IN (SELECT packet_id FROM h WHERE emitted)", _held("(SELECT * FROM sc WHERE threat_level IN ('HIGH', 'CRITICAL'))", 30000000, ">=")),
     "cooldown": _with("pk", "SELECT packet_id, source_ip, emitted FROM h", _held(_HIGH_VALUE, 30000000, ">=")),
     "block_ledger": _with("pk", "SELECT packet_id, source_ip, status, expires_us FROM l", _held(_BLOCKABLE, 120000000, ">") + ", " + _LEDGER),
     "block_status": _with("pk", "SELECT (SELECT count(*) FROM l WHERE expires_us >= (SELECT max(t_us) FROM l)) AS total_blocked, (SELECT string_agg(source_ip, ',' ORDER BY t_us DESC, packet_id DESC) FROM (SELECT * FROM l WHERE expires_us IS NOT NULL ORDER BY t_us DESC, packet_id DESC LIMIT 10)) AS recent_blocks", _held(_BLOCKABLE, 120000000, ">") + ", " + _LEDGER),

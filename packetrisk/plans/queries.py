@@ -86,7 +86,8 @@ def flow_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flow_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    out = flows.flow_sessions(flows.flow_snapshots(flows.by_source(mapping.packets(spark, sf))))
+    packets = mapping.packets(spark, sf)
+    out = flows.flow_sessions(flows.flow_snapshots(flows.by_source(packets)), packets.agg(F.max("t_us")).first()[0] or 0)
     return out.select("source_ip", "destination_ip", long("session"), "packet_count", long("unique_ports"), "first_us", "last_us", "active")
 
 
@@ -194,12 +195,12 @@ def events_clear(spark: SparkSession, sf: str) -> DataFrame:
     return mapping.packets(spark, sf).limit(1).select(F.lit(before).cast("long").alias("before"), F.lit(after).cast("long").alias("after"))
 
 
-def alerts(spark: SparkSession, sf: str) -> DataFrame:
-    return response.alerts(_scored(spark, sf)).select("packet_id", "alert_type", "source_ip", "threat_level", r6("risk_score"), "message")
+#: Holds of a source that one task reads in a suppression: a busy source may send without a pause.
+CHUNK_HOLDS = 64
 
 
-#: Holds of a source that one task reads in the suppression of raw packets, where a source may send without a pause.
-CHUNK_HOLDS = 64
+def alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return response.alerts(_scored(spark, sf), chunk_holds=CHUNK_HOLDS).select("packet_id", "alert_type", "source_ip", "threat_level", r6("risk_score"), "message")
 
 
 def cooldown(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,7 +216,8 @@ def block_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 def block_status(spark: SparkSession, sf: str) -> DataFrame:
     rows = mapping.packets(spark, sf).where("value > 100")
-    return response.block_status(response.block_ledger(rows, chunk_holds=CHUNK_HOLDS)).select("total_blocked", F.array_join("recent_blocks", ",").alias("recent_blocks"))
+    now = rows.agg(F.max("t_us")).first()[0] or 0
+    return response.block_status(response.block_ledger(rows, chunk_holds=CHUNK_HOLDS), now).select("total_blocked", F.array_join("recent_blocks", ",").alias("recent_blocks"))
 
 
 LOWERED = ["MEDIUM", "HIGH", "CRITICAL"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packetrisk.config import DEFAULTS, RiskConfig
 from packetrisk.functions.addresses import is_local_source
 from packetrisk.functions.features import normalised_features
+from packetrisk.functions.numbers import cents
 from packetrisk.functions.scores import damped, matched_rules, rule_score, signal_strength, signature_alerts, signature_score, threat_level, weighted_risk
 from packetrisk.operators.drift import behavioral_drift
 from packetrisk.operators import isolation_forest
@@ -48,14 +49,14 @@ def detect(df: DataFrame, config: RiskConfig = DEFAULTS) -> DataFrame:
 
 
 def assess(df: DataFrame, config: RiskConfig = DEFAULTS) -> DataFrame:
-    """Risk, level and action; local sources are ignored."""
+    """Risk (to two decimals), level and action (both by the unrounded risk); local sources are ignored."""
     local = is_local_source(F.col("source_ip"))
     df = df.withColumns({"base_risk": weighted_risk(config), "signal_strength": signal_strength(), "is_local": local})
     df = df.withColumn("__risk", damped(F.col("base_risk"), F.col("signal_strength"), F.col("trust_score")))
     act = F.when((F.col("__risk") >= 90) & (F.col("signal_strength") >= 3), F.concat(F.lit("Would Block (Simulation): "), "source_ip")).otherwise("Monitored")
     quiet = lambda other, own: F.when(F.col("is_local"), other).otherwise(own)
     out = df.withColumns({
-        "domain": quiet(F.lit("local"), F.col("domain")), "trust_score": quiet(F.lit(1.0), F.col("trust_score")), "risk_score": quiet(F.lit(0.0), F.col("__risk")),
+        "domain": quiet(F.lit("local"), F.col("domain")), "trust_score": quiet(F.lit(1.0), F.col("trust_score")), "risk_score": quiet(F.lit(0.0), cents(F.col("__risk"))),
         "packet_rate": quiet(F.lit(0).cast("long"), F.col("rate_30s")), "temporal_attack_density": quiet(F.lit(0).cast("long"), F.col("density_60s")), "behavioral_drift": quiet(F.lit(0.0), F.col("drift")),
         "response_action": quiet(F.lit("Ignored (Local Traffic)"), act),
     })

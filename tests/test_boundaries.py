@@ -129,7 +129,7 @@ def test_block_ledger(spark):
     rows = [(1, 0, "45.1.1.1", "x", 1), (2, 120 * S, "45.1.1.1", "x", 1), (3, 120 * S + 1, "45.1.1.1", "x", 1), (4, 0, "unknown", "x", 1), (5, 0, "10.0.0.1", "x", 1)]
     ledger = response.block_ledger(packets(spark, rows))
     assert {r.packet_id: r.status for r in ledger.collect()} == {1: "Blocked IP: 45.1.1.1", 2: "Already Blocked", 3: "Blocked IP: 45.1.1.1", 4: "Invalid IP", 5: "Skipped (Local/Private IP)"}
-    status = response.block_status(ledger).first()
+    status = response.block_status(ledger, 120 * S + 1).first()
     assert status.total_blocked == 1 and status.recent_blocks == ["45.1.1.1", "45.1.1.1"]
 
 
