@@ -219,11 +219,15 @@ def _merged(counted: DataFrame, scan: int, shards: int, least: int, bits: int) -
     return counted.repartition("bucket").sortWithinPartitions("bucket", "k", "act").mapInArrow(run, COUNTED)
 
 
+def _buckets(size: int) -> int:
+    return max(12, size // BUCKET_BYTES)
+
+
 def dynamic_counts(blocks: DataFrame, size: int, least: int, shards: int) -> Tables:
     """The tables of all phrases that occur ``least`` times, by dynamic itemset counting over the shards of ``blocks``."""
     spark = blocks.sparkSession
     bits = min(MOST_BITS, max(LEAST_BITS, (size // PLACE_BYTES).bit_length()))
-    tables, scan, kept, buckets = Tables(spark, bits), 1, None, max(12, size // BUCKET_BYTES)
+    tables, scan, kept, buckets = Tables(spark, bits), 1, None, _buckets(size)
     while lengths := [k for k in range(1, LONGEST + 1) if tables.acts(k, scan, shards)]:
         counted = _scan(blocks.where(F.col("shard") == (scan - 1) % shards), tables, scan, shards, lengths, buckets)
         before = kept
@@ -237,8 +241,12 @@ def dynamic_counts(blocks: DataFrame, size: int, least: int, shards: int) -> Tab
     return tables
 
 
-def phrase_counts(blocks: DataFrame, tables: Tables, least: int) -> DataFrame:
-    """(lang, k, phrase, n) of all phrases of 1 to 5 words that occur ``least`` times or more; k = 0 has the number of all words."""
+LISTED = "bucket int, lang string, k int, phrases binary, counts binary"
+
+
+def _lists(blocks: DataFrame, tables: Tables, buckets: int) -> DataFrame:
+    """Each block's phrases of 1 to 5 words that may be frequent, by bucket of their hash (joined by line feeds, which no phrase
+    contains), and how often each occurs; k = 0 has the number of all words."""
     bits, steps = tables.bits, {k: tables.shared(k) for k in range(1, LONGEST + 1)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +254,7 @@ def phrase_counts(blocks: DataFrame, tables: Tables, least: int) -> DataFrame:
             for lang, text, ids in zip(*(column(batch, c).to_pylist() for c in ("lang", "words", "ids"))):
                 names = [b"", *text.split(b" ")]
                 words, piece, own, at = _positions(lang, names[1:] if text else [], ids)
-                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([0], pa.int32()), pa.array([""]), pa.array([len(words)], pa.int64())], names=["lang", "k", "phrase", "n"])
+                rows = [(0, lang, 0, b"", np.array([len(words)]).tobytes())]
                 alive = np.arange(len(words))
                 for k in range(1, LONGEST + 1):
                     keys, inside = _phrases(words, piece, own, k)
@@ -255,21 +263,53 @@ def phrase_counts(blocks: DataFrame, tables: Tables, least: int) -> DataFrame:
                     if not len(alive):
                         break
                     # phrases of equal hashes but different words are told apart by their word numbers
-                    rows = np.lexsort([*(at[alive + i] for i in range(k)), keys[alive]])
-                    place = alive[rows]
+                    place = alive[np.lexsort([*(at[alive + i] for i in range(k)), keys[alive]])]
                     change = np.zeros(len(place), dtype=bool)
                     change[0] = True
                     for i in range(k):
                         change[1:] |= at[place[1:] + i] != at[place[:-1] + i]
                     first = np.flatnonzero(change)
                     n = np.diff(np.append(first, len(place)))
-                    for a in range(0, len(first), 50_000):
-                        phrases = [b" ".join([names[j] for j in at[p : p + k].tolist()]) for p in place[first[a : a + 50_000]].tolist()]
-                        some = len(phrases)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * some, pa.string()), pa.array([k] * some, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n[a : a + 50_000])], names=["lang", "k", "phrase", "n"])
+                    start = place[first]
+                    bucket = (((keys[start] >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+                    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+                    for a, b in zip(edges[:-1], edges[1:]):
+                        phrases = b"\n".join([b" ".join([names[j] for j in at[p : p + k].tolist()]) for p in start[a:b].tolist()])
+                        rows.append((int(bucket[a]), lang, k, phrases, n[a:b].tobytes()))
+                kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=["bucket", "lang", "k", "phrases", "counts"])
+
+    return blocks.select("lang", "words", "ids").mapInArrow(run, LISTED)
+
+
+def phrase_counts(blocks: DataFrame, tables: Tables, least: int, buckets: int = 12) -> DataFrame:
+    """(lang, k, phrase, n) of all phrases of 1 to 5 words that occur ``least`` times or more; k = 0 has the number of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, {}
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if now is None:
+                return
+            found = [(p, n) for p, n in sums.items() if n >= least or now[2] == 0]
+            for i in range(0, len(found), 20_000):
+                part = found[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([now[1]] * len(part), pa.string()), pa.array([now[2]] * len(part), pa.int32()), pa.array([p for p, _ in part], pa.binary()).cast(pa.string()), pa.array([n for _, n in part], pa.int64())],
+                    names=["lang", "k", "phrase", "n"],
+                )
+
+        for batch in batches:
+            for bucket, lang, k, phrases, counts in zip(*(column(batch, c).to_pylist() for c in ("bucket", "lang", "k", "phrases", "counts"))):
+                if (bucket, lang, k) != now:
+                    yield from close()
+                    now, sums = (bucket, lang, k), {}
+                for p, n in zip(phrases.split(b"\n"), np.frombuffer(counts, np.int64).tolist()):
+                    sums[p] = sums.get(p, 0) + n
+        yield from close()
 
-    rows = blocks.select("lang", "words", "ids").mapInArrow(run, "lang string, k int, phrase string, n long")
-    return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0))
+    dealt = _lists(blocks, tables, buckets).repartition("bucket").sortWithinPartitions("bucket", "lang", "k")
+    return dealt.mapInArrow(run, "lang string, k int, phrase string, n long")
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, top: int = 2000, shards: int = SHARDS) -> DataFrame:
@@ -284,7 +324,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = blocks_of(rows, shards)
-    known = stored(phrase_counts(blocks, dynamic_counts(blocks, size, least, shards), least))
+    known = stored(phrase_counts(blocks, dynamic_counts(blocks, size, least, shards), least, _buckets(size)))
     discard(blocks)
     longer = known.where("k > 2").select("lang", "n", F.explode(F.array(F.expr("substring_index(phrase, ' ', k - 1)"), F.expr("substring(phrase, instr(phrase, ' ') + 1)"))).alias("phrase"))
     longer = longer.groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
