@@ -99,8 +99,9 @@ def _context(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """32-bit numbers compressed byte plane by byte plane."""
-    return pa.compress(np.ascontiguousarray(values.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+    """32-bit numbers (integers, or single floats by their bits) compressed byte plane by byte plane."""
+    bits = values.view(np.int32) if values.dtype == np.float32 else values.astype(np.int32)
+    return pa.compress(np.ascontiguousarray(bits.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
@@ -253,7 +254,7 @@ def _questions(blocks: DataFrame, bits: int) -> DataFrame:
 
 
 def _answers(entries: DataFrame, questions: DataFrame) -> DataFrame:
-    """(block, lang, at, first, second): the entries that each block asked for, by language; ``at`` are places among its keys."""
+    """(block, lang, n, at, first, second): the n entries that each block asked for, by language; ``at`` (as steps) are places among its keys."""
     side = entries.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("block", "long"), ("base", "int"), ("keys", "binary"))))
     both = side.unionByName(questions, allowMissingColumns=True).select(*(x.split()[0] for x in ASKED.split(", ")))
     dealt = both.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("block"), "lang", "key")
@@ -291,12 +292,12 @@ def _answers(entries: DataFrame, questions: DataFrame) -> DataFrame:
                         at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
                         found = np.flatnonzero(key[at] == keys)
                         if len(found):
-                            out.append((who, lang, (found + base).astype(np.int32).tobytes(), first[at[found]].tobytes(), second[at[found]].tobytes()))
+                            out.append((who, lang, len(found), packed(np.diff(found, prepend=-base)), packed(first[at[found]]), packed(second[at[found]])))
                 if out:
-                    kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names=["block", "lang", "at", "first", "second"])
+                    kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names=["block", "lang", "n", "at", "first", "second"])
 
-    return dealt.mapInArrow(run, "block long, lang string, at binary, first binary, second binary")
+    return dealt.mapInArrow(run, "block long, lang string, n long, at binary, first binary, second binary")
 
 
 JUDGED = "doc_id long, held boolean, lang string, crc long, n long, best string, h1 double, h2 double"
@@ -344,9 +345,9 @@ class _Block:
                 self.finish()
                 self.lang, self.ready = row["lang"], True
                 self.first, self.second = np.zeros(len(self.grams.keys)), np.zeros(len(self.grams.keys))
-            at = np.frombuffer(row["at"], np.int32)
-            self.first[at] = np.frombuffer(row["first"], np.float32)
-            self.second[at] = np.frombuffer(row["second"], np.float32)
+            at, first, second = (unpacked(row[c], row["n"]) for c in ("at", "first", "second"))
+            at = np.cumsum(at)
+            self.first[at], self.second[at] = first.view(np.float32), second.view(np.float32)
 
     def finish(self) -> None:
         if self.ready:
