@@ -14,7 +14,6 @@ class RiskConfig:
     density_window_s: int = 60
     drift_history: int = 20
     drift_least: int = 5
-    ema_rows: int = 64
     alert_cooldown_s: int = 30
     block_hold_s: int = 120
     weights: tuple[float, float, float, float] = (0.4, 0.3, 0.2, 0.1)

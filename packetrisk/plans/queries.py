@@ -115,13 +115,17 @@ def rate_limited(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("packet_id", "source_ip", long("rate"), (F.col("rate") > 50).alias("limited"))
 
 
+#: Seconds of a source's or a flow's time that one task counts at once.
+CHUNK_S = 90
+
+
 def behavioral_drift(spark: SparkSession, sf: str) -> DataFrame:
     out = drift.behavioral_drift(flows.flow_snapshots(flows.by_source(mapping.packets(spark, sf))))
     return out.select("packet_id", r6("drift"))
 
 
 def ema_drift(spark: SparkSession, sf: str) -> DataFrame:
-    out = drift.halving_drift(flows.flow_snapshots(flows.by_source(mapping.packets(spark, sf))))
+    out = drift.halving_drift(flows.flow_snapshots(mapping.packets(spark, sf), chunk_s=CHUNK_S), chunk_s=CHUNK_S)
     return out.select("packet_id", r6("ema_drift"))
 
 
@@ -290,8 +294,8 @@ def score_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_hot_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with trailing counts spread over time buckets, for sources too busy for one task."""
-    return _scored_columns(score_packets(mapping.packets(spark, sf), mapping.rdns(spark, sf), bucket_s=90))
+    """The same with flows, trailing counts and drift spread over time, for sources and flows too busy for one task."""
+    return _scored_columns(score_packets(mapping.packets(spark, sf), mapping.rdns(spark, sf), bucket_s=CHUNK_S))
 
 
 def stream_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,7 @@ from packetrisk.functions.numbers import cents
 from packetrisk.functions.scores import damped, matched_rules, rule_score, signal_strength, signature_alerts, signature_score, threat_level, weighted_risk
 from packetrisk.operators.drift import behavioral_drift
 from packetrisk.operators import isolation_forest
-from packetrisk.operators.flows import by_flow, by_source, flow_snapshots
+from packetrisk.operators.flows import by_source, flow_snapshots
 from packetrisk.operators.isolation_forest import Forest
 from packetrisk.operators.trailing import trailing_counts
 from packetrisk.operators.trust import with_trust
@@ -21,12 +21,12 @@ from packetrisk.operators.trust import with_trust
 def activity(packets: DataFrame, config: RiskConfig = DEFAULTS, bucket_s: int | None = None) -> DataFrame:
     """Packets with flow counters, trailing counts and drift. One exchange, on the source.
 
-    With ``bucket_s``, for sources too busy for one task, flows are hashed on (source, destination), and drift
-    and trailing counts on (source, time bucket) with copied context: the same values, no task with a whole source.
+    With ``bucket_s``, for sources and flows too busy for one task, flows are counted in chunks of that length, and drift
+    and trailing counts on (source, time bucket) with copied context: the same values, no task with a whole source or flow.
     """
     windows = {"rate_10s": config.rate_limit_window_s, "rate_30s": config.packet_rate_window_s, "density_60s": config.density_window_s}
     if bucket_s:
-        df = behavioral_drift(flow_snapshots(by_flow(packets), config), config, bucket_s=bucket_s)
+        df = behavioral_drift(flow_snapshots(packets, config, chunk_s=bucket_s), config, bucket_s=bucket_s)
         df = trailing_counts(df, windows, bucket_s=bucket_s)
     else:
         df = behavioral_drift(trailing_counts(flow_snapshots(by_source(packets), config), windows), config)
