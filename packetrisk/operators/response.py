@@ -32,6 +32,23 @@ def alerts(scored: DataFrame, config: RiskConfig = DEFAULTS, chunk_holds: int |
     )
 
 
+def with_refusals(candidates: DataFrame) -> DataFrame:
+    """``candidates`` with ``refused`` (why a source is not blocked, or null) and ``held``: the source, or a key of its own for a refused one."""
+    ip = F.col("source_ip")
+    refused = F.when(~is_ipv4_shape(ip), "Invalid IP").when(is_private(ip), "Skipped (Local/Private IP)")
+    return candidates.withColumn("refused", refused).withColumn("held", F.when(F.col("refused").isNull(), ip).otherwise(F.concat(F.lit("refused:"), F.coalesce(ip, F.lit("")))))
+
+
+def block_events(ledger: DataFrame, at_us: int, config: RiskConfig = DEFAULTS) -> DataFrame:
+    """The ledger's rows up to ``at_us`` and a release (status 'Released IP: ...') of each block that had run out by then, at its first free microsecond.
+
+    A release carries the packet of its block.
+    """
+    ended = ledger.where(F.col("expires_us") < at_us)
+    released = ended.select("packet_id", (F.col("expires_us") + 1).alias("t_us"), "source_ip", F.concat(F.lit("Released IP: "), "source_ip").alias("status"), F.lit(None).cast("long").alias("expires_us"))
+    return ledger.where(F.col("t_us") <= at_us).unionByName(released)
+
+
 def block_ledger(candidates: DataFrame, config: RiskConfig = DEFAULTS, chunk_holds: int | None = None) -> DataFrame:
     """(packet_id, t_us, source_ip, status, expires_us) of every candidate; a block lasts while no more than the hold has passed.
 
@@ -39,9 +56,7 @@ def block_ledger(candidates: DataFrame, config: RiskConfig = DEFAULTS, chunk_hol
     rows of their own.  ``chunk_holds`` spreads busy sources over tasks (see ``suppress``).
     """
     ip = F.col("source_ip")
-    refused = F.when(~is_ipv4_shape(ip), "Invalid IP").when(is_private(ip), "Skipped (Local/Private IP)")
-    # A refused row holds a key of its own, so that one pass judges all rows.
-    rows = candidates.select("packet_id", "t_us", "source_ip", refused.alias("refused")).withColumn("held", F.when(F.col("refused").isNull(), ip).otherwise(F.concat(F.lit("refused:"), F.coalesce(ip, F.lit("")))))
+    rows = with_refusals(candidates.select("packet_id", "t_us", "source_ip"))
     judged = suppress(rows, config.block_hold_s, inclusive=False, key="held", carry=("source_ip", "refused"), chunk_holds=chunk_holds)
     blocked = F.col("refused").isNull() & F.col("emitted")
     status = F.coalesce("refused", F.when(blocked, F.concat(F.lit("Blocked IP: "), ip)).otherwise("Already Blocked"))

@@ -318,6 +318,25 @@ def stream_attackers(spark: SparkSession, sf: str) -> DataFrame:
     return streams.stream_attackers(spark, sf, LOWERED).select("key", "n")
 
 
+def stream_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.stream_blocks(spark, sf).select("packet_id", "t_us", "source_ip", "status", "expires_us")
+
+
+def stream_block_table(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.stream_block_table(spark, sf).select("source_ip", "packet_id", "t_us", F.col("expires_us").isNotNull().alias("blocked"))
+
+
+def stream_events(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.stream_events(spark, sf).select("packet_id", "source_ip", long("packet_count"), r6("risk_score"), "threat_level")
+
+
+def block_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks, refusals and releases up to the last packet."""
+    rows = mapping.packets(spark, sf).where("value > 100")
+    now = rows.agg(F.max("t_us")).first()[0] or 0
+    return response.block_events(response.block_ledger(rows, chunk_holds=CHUNK_HOLDS), now).select("packet_id", "t_us", "source_ip", "status", "expires_us")
+
+
 QUERIES: dict[str, Query] = {
     "packets_ingest": packets_ingest, "packets_ports": packets_ports, "safe_numbers": safe_numbers, "ip_classes": ip_classes, "port_classes": port_classes, "features": features,
     "flow_snapshots": flow_snapshots, "flow_sessions": flow_sessions, "packet_rate": _counts("packet_rate", 30, True), "temporal_density": temporal_density, "rate_limited": rate_limited,
@@ -327,4 +346,5 @@ QUERIES: dict[str, Query] = {
     "attackers": attackers, "attack_types": attack_types, "attack_hours": attack_hours, "trend_summary": trend_summary, "ip_risk_profile": ip_risk_profile, "ip_risk_top": ip_risk_top,
     "threat_table": threat_table, "geo_points": geo_points, "training_clean": training_clean, "iforest_scores": iforest_scores, "score_packets": score_all, "score_hot_sources": score_hot_sources,
     "stream_scores": stream_scores, "stream_alerts": stream_alerts, "stream_sessions": stream_sessions, "stream_trends": stream_trends, "stream_attackers": stream_attackers,
+    "block_events": block_events, "stream_blocks": stream_blocks, "stream_block_table": stream_block_table, "stream_events": stream_events,
 }

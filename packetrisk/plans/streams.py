@@ -10,9 +10,11 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetrisk.operators import analytics
-from packetrisk.sources import mapping
+from packetrisk.operators import events
+from packetrisk.sources import event_store, mapping
 from packetrisk.streaming import live
+from packetrisk.streaming.hitters import top_hitters
+from packetrisk.streaming.tables import KeptTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FAR = 10**15
@@ -41,15 +43,19 @@ def state_store(spark: SparkSession) -> Iterator[None]:
 
 
 def replay(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> DataFrame:
-    """Write the packets as files in time order, with a far-off packet of its own source that moves the watermark past all others."""
-    rows = mapping.packets(spark, sf_dir).select(*live.ACTIVITY_IN)
+    """Write the packets as files in time order and read them as a stream."""
+    return _replayed(mapping.packets(spark, sf_dir).select(*live.ACTIVITY_IN), folder, files)
+
+
+def _replayed(rows: DataFrame, folder: str, files: int = 4) -> DataFrame:
+    """``rows`` as files in time order, with a far-off packet of its own source that moves the watermark past all others, as a stream."""
     last = rows.limit(1).select(
         F.lit(-1).cast("long").alias("packet_id"), F.lit(FAR).cast("long").alias("t_us"), F.timestamp_micros(F.lit(mapping.EPOCH_US + FAR)).alias("timestamp"), F.lit("sentinel").alias("source_ip"), F.lit("sentinel").alias("destination_ip"),
         *(F.lit(0).alias(c) for c in ("protocol", "src_port", "dst_port", "packet_length")), F.lit(False).alias("anomaly_detected"),
     )
     rows.repartitionByRange(files, "t_us").sortWithinPartitions("t_us").write.parquet(f"{folder}/in")
     last.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
 
 
 def drain(stream: DataFrame, folder: str, name: str) -> DataFrame:
@@ -83,18 +89,14 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(live.live_sessions(replay(spark, sf_dir, folder)), folder, "sessions").where("source_ip <> 'sentinel'")
 
 
-def kept_table(changes: DataFrame, folder: str, key: str) -> DataFrame:
-    """Run a stream of changed rows to its end; each micro-batch writes only what it changed, and the last row of a key counts.
-
-    A batch that runs again after a failure replaces its own folder.
-    """
+def kept_table(changes: DataFrame, folder: str, key: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream of changed rows to its end into a ``KeptTable`` and read the table."""
     spark = changes.sparkSession
-    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+    table = KeptTable(spark, f"{folder}/table", changes.schema, key, order)
     with state_store(spark):
-        changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/table-state").trigger(availableNow=True).start().awaitTermination()
-    rest = [c for c in changes.columns if c != key]
-    rows = spark.read.schema(changes.schema.add("batch", "long")).parquet(f"{folder}/table")
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(key, "last.*")
+        started = changes.writeStream.outputMode("update").foreachBatch(table.update)
+        started.option("checkpointLocation", f"{folder}/table-state").trigger(availableNow=True).start().awaitTermination()
+    return table.read()
 
 
 def _scores_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
@@ -110,6 +112,35 @@ def stream_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_attackers(spark: SparkSession, sf_dir: str, levels: list[str]) -> DataFrame:
-    """The top attackers of live scores: counts kept by a stream, cut to the first five."""
+    """The top attackers of live scores, by counters kept by a stream."""
+    folder = work_folder(spark)
+    return top_hitters(kept_table(live.live_attackers(_scores_stream(spark, sf_dir, folder), levels), folder, "slot"), 5)
+
+
+def _ledger_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The live ledger of the packets of a high value; the far-off packet's source is refused."""
+    rows = mapping.packets(spark, sf_dir).where("value > 100").select(*live.ACTIVITY_IN)
+    return drain(live.live_blocks(_replayed(rows, folder)), folder, "ledger").where("source_ip <> 'sentinel' or source_ip is null")
+
+
+def stream_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks, refusals and releases of a stream of candidates."""
+    return _ledger_stream(spark, sf_dir, work_folder(spark))
+
+
+def stream_block_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's last block and whether it has been released, kept by a stream over the live ledger."""
     folder = work_folder(spark)
-    return analytics.top(kept_table(live.live_attackers(_scores_stream(spark, sf_dir, folder), levels), folder, "key"), 5)
+    ledger = _ledger_stream(spark, sf_dir, folder)
+    source = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/ledger")
+    return kept_table(live.live_block_table(source), folder, "source_ip", ("t_us",))
+
+
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event store as a stream of live scores fills it."""
+    folder = work_folder(spark)
+    rows = events.stored_events(_scores_stream(spark, sf_dir, folder))
+    with state_store(spark):
+        sink = rows.writeStream.foreachBatch(event_store.batch_sink(f"{folder}/events", "scores")).option("checkpointLocation", f"{folder}/events-state")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return event_store.read_events(spark, f"{folder}/events")

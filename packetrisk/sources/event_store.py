@@ -1,7 +1,10 @@
-"""The event store: a Parquet table partitioned by date."""
+"""The event store: a Parquet table partitioned by date and by append."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +14,32 @@ STORED = (
 )
 
 
+#: Files of a date that one micro-batch writes at most.
+BATCH_FILES = 4
+
+
+def _write(events: DataFrame, path: str, batch: str, mode: str) -> None:
+    """Files by date and by the append that brought them."""
+    rows = events.withColumns({"event_date": F.to_date("timestamp"), "batch": F.lit(batch)})
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(path)
+
+
 def append_events(events: DataFrame, path: str) -> None:
-    events.withColumn("event_date", F.to_date("timestamp")).write.mode("append").partitionBy("event_date").parquet(path)
+    _write(events, path, f"append-{uuid.uuid4().hex}", "append")
+
+
+def batch_sink(path: str, stream: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: append each micro-batch exactly once.
+
+    A batch's files lie under its number (and the stream's name), and a batch that runs again, after a failure or a restart from the stream's
+    checkpoint, replaces its own files only.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        dealt = batch.repartition(F.to_date("timestamp"), F.pmod(F.xxhash64("packet_id"), F.lit(BATCH_FILES)))
+        _write(dealt, path, f"{stream}-{number}", "overwrite")
+
+    return write
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
