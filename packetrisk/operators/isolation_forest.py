@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetrisk.functions.features import FEATURES
@@ -59,16 +60,20 @@ class Forest:
         return self._arrays
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        """2 ** (-mean depth / average path); all rows go down a tree level by level."""
-        depth = np.zeros(len(rows))
-        for feature, cut, low, high, size in self.arrays():
-            at = np.zeros(len(rows), dtype=int)
-            while (inner := np.flatnonzero(feature[at] >= 0)).size:
-                node = at[inner]
-                at[inner] = np.where(rows[inner, feature[node]] <= cut[node], low[node], high[node])
-                depth[inner] += 1
-            depth += average_path(size[at])
-        return 2.0 ** (-depth / max(1, len(self.arrays())) / float(average_path(self.sample) or 1.0))
+        return path_scores(self.arrays(), self.sample, rows)
+
+
+def path_scores(trees: list[tuple[np.ndarray, ...]], sample: int, rows: np.ndarray) -> np.ndarray:
+    """2 ** (-mean depth / average path); all rows go down a tree level by level."""
+    depth = np.zeros(len(rows))
+    for feature, cut, low, high, size in trees:
+        at = np.zeros(len(rows), dtype=int)
+        while (inner := np.flatnonzero(feature[at] >= 0)).size:
+            node = at[inner]
+            at[inner] = np.where(rows[inner, feature[node]] <= cut[node], low[node], high[node])
+            depth[inner] += 1
+        depth += average_path(size[at])
+    return 2.0 ** (-depth / max(1, len(trees)) / float(average_path(sample) or 1.0))
 
 
 def quantile(df: DataFrame, value: str, p: float, most: int = 100_000) -> float:
@@ -97,25 +102,85 @@ def quantile(df: DataFrame, value: str, p: float, most: int = 100_000) -> float:
     return low if low == high else (higher - position) * low + (position - lower) * high
 
 
+#: Tasks that put together what the first tasks have chosen for a tree, before the last one.
+MERGES = 64
+CHOSEN = "tree int, h long, " + ", ".join(f"{c} double" for c in FEATURES)
+
+
+class Smallest:
+    """For every tree the rows of the smallest hashes met so far, at most twice as many as wanted."""
+
+    def __init__(self, most: int):
+        self.most, self.parts = most, {}
+
+    def add(self, tree: int, h: np.ndarray, rows: np.ndarray) -> None:
+        limit, parts = self.parts.setdefault(tree, (np.iinfo(np.int64).max, []))
+        near = h <= limit
+        if near.any():
+            parts.append((h[near], rows[near]))
+            if sum(len(p[0]) for p in parts) >= 2 * self.most:
+                h, rows = self.chosen(tree)
+                self.parts[tree] = (h[-1] if len(h) == self.most else limit, [(h, rows)])
+
+    def chosen(self, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """In order of hash, equal hashes (equal keys) in order of the rows."""
+        h, rows = (np.concatenate(x) for x in zip(*self.parts[tree][1]))
+        order = np.lexsort([*rows.T[::-1], h])[: self.most]
+        return h[order], rows[order]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for tree in self.parts:
+            h, rows = self.chosen(tree)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), tree, np.int32)), pa.array(h), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], names=["tree", "h", *FEATURES])
+
+
+def samples(training: DataFrame, key: str, trees: int, seed: int, sample: int) -> DataFrame:
+    """(tree, h, features): for each tree at least the ``sample`` rows of the smallest hash of (key, tree), from one pass over the rows.
+
+    Every task keeps the smallest of its rows for all trees, and these are put together in two steps: no task reads more than a
+    bounded number of rows for a tree from each of those before it.
+    """
+    rows = training.select(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), *(F.col(c).cast("double").alias(c) for c in FEATURES))
+    matrix = lambda batch: np.column_stack([batch.column(c).to_numpy() for c in FEATURES])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        smallest = Smallest(sample)
+        for batch in batches:
+            h, values = batch.column("h").to_numpy().view(np.uint64), matrix(batch)
+            for tree in range(trees):
+                x = (h ^ np.uint64((tree + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD)
+                x ^= x >> np.uint64(32)
+                x *= np.uint64(0xC4CEB9FE1A85EC53)
+                smallest.add(tree, (x >> np.uint64(1)).view(np.int64), values)
+        yield from smallest.batches()
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        smallest = Smallest(sample)
+        for batch in batches:
+            tree, h, values = batch.column("tree").to_numpy(), batch.column("h").to_numpy(), matrix(batch)
+            for t in np.unique(tree).tolist():
+                smallest.add(t, h[tree == t], values[tree == t])
+        yield from smallest.batches()
+
+    chosen = rows.mapInArrow(first, CHOSEN).withColumn("__part", F.spark_partition_id() % MERGES)
+    return chosen.repartition("tree", "__part").drop("__part").mapInArrow(again, CHOSEN)
+
+
 def train_forest(training: DataFrame, key: str, trees: int = 100, contamination: float = 0.05, seed: int = 42, sample: int = 256) -> Forest:
     """Each tree takes the ``sample`` rows of the smallest hash of (key, tree): the same rows however the table is partitioned."""
-    n = training.count()
-    sample = min(sample, n)
-    keep = min(1.0, 20.0 * sample / max(n, 1))  # rows whose hash is too large for every tree's sample are left out before the shuffle
-    numbered = training.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("__h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)))
-    numbered = numbered.where(F.pmod("__h", F.lit(1 << 20)) < int(keep * (1 << 20)) + 1)
-    order = Window.partitionBy("tree").orderBy(F.pmod("__h", F.lit(1 << 20)), "__h", key)
-    chosen = numbered.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= sample).select("tree", "__r", *FEATURES)
-    depth = max(1, int(np.ceil(np.log2(max(sample, 2)))))
+    names = FEATURES
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(rows["tree"].iloc[0])
-        nodes = grow_tree(rows.sort_values("__r")[FEATURES].to_numpy(float), np.random.default_rng([seed, tree]), depth)
+        chosen = rows.sort_values(["h", *names])[names].to_numpy(float)[:sample]
+        depth = max(1, int(np.ceil(np.log2(max(len(chosen), 2)))))
+        nodes = grow_tree(chosen, np.random.default_rng([seed, tree]), depth)
         out = pd.DataFrame(nodes, columns=["feature", "cut", "low", "high", "size"])
         return out.assign(tree=tree, node=range(len(out)))[["tree", "node", "feature", "cut", "low", "high", "size"]]
 
-    grown = chosen.groupBy("tree").applyInPandas(build, TREES).toPandas()  # at most trees * 2 * sample nodes
-    forest = Forest(grown, sample, 0.5)
+    # at most MERGES * sample rows of a tree come together, and trees * 2 * sample nodes
+    grown = samples(training, key, trees, seed, sample).groupBy("tree").applyInPandas(build, TREES).toPandas()
+    forest = Forest(grown, int(grown["size"].max()), 0.5)
     forest.threshold = quantile(score(training, forest).select("anomaly_score"), "anomaly_score", 1 - contamination)
     return forest
 
@@ -127,13 +192,14 @@ def score(df: DataFrame, forest: Forest | None, features: list[Column] | None =
     """
     if forest is None:
         return df.withColumns({"anomaly_score": F.lit(0.0), "decision": F.lit(0.0), "is_anomaly": F.lit(False)})
-    shared = df.sparkSession.sparkContext.broadcast(forest)  # a fixed number of small trees
+    # a fixed number of small trees, as plain arrays: workers need no class of this package to read them
+    shared = df.sparkSession.sparkContext.broadcast((forest.arrays(), forest.sample))
 
     @F.pandas_udf("double")
     def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        forest = shared.value
+        trees, sample = shared.value
         for part in parts:
-            yield pd.Series(forest.scores(np.column_stack([p.to_numpy(float) for p in part])))
+            yield pd.Series(path_scores(trees, sample, np.column_stack([p.to_numpy(float) for p in part])))
 
     out = df.withColumn("anomaly_score", run(*(features or FEATURES)))
     decision = F.lit(forest.threshold) - F.col("anomaly_score")
