@@ -78,6 +78,13 @@ _BLOCKABLE = f"(SELECT * FROM pk WHERE value > 100 AND {SHAPE} AND NOT {PRIVATE}
 _LEDGER = f"""l AS (SELECT p.packet_id, p.t_us, p.source_ip, CASE WHEN NOT {SHAPE.replace('source_ip', 'p.source_ip')} THEN 'Invalid IP' WHEN {PRIVATE.replace('source_ip', 'p.source_ip')} THEN 'Skipped (Local/Private IP)' WHEN h.emitted THEN 'Blocked IP: ' || p.source_ip ELSE 'Already Blocked' END AS status,
   CASE WHEN h.emitted THEN p.t_us + 120000000 END AS expires_us FROM pk p LEFT JOIN h USING (packet_id) WHERE p.value > 100)"""
 _RELEASES = "SELECT packet_id, t_us, source_ip, status, expires_us FROM l UNION ALL SELECT packet_id, expires_us + 1, source_ip, 'Released IP: ' || source_ip, NULL FROM l{}"
+_MESSAGES = """, texts AS (SELECT *, '{"packet_id": ' || packet_id || ', ' || CASE WHEN packet_id % 23 = 0 THEN '' ELSE '"src_ip": "' || source_ip || '", "dst_ip": "' || destination_ip || '", "protocol": ' || q || protocol || q || ', ' END || '"src_port": ' || q || src_port || q
+  || ', "dst_port": ' || q || dst_port || q || ', "packet_length": ' || packet_length || ', "timestamp": "' || CASE WHEN packet_id % 29 = 0 THEN 'soon' ELSE strftime(make_timestamp(t_us + 1704067200000000), '%Y-%m-%dT%H:%M:%S.%f') END || '"}' AS whole
+  FROM (SELECT *, CASE WHEN packet_id % 7 = 0 THEN '"' ELSE '' END AS q FROM pk)),
+broken AS (SELECT *, packet_id::VARCHAR AS key, CASE WHEN packet_id % 17 = 0 THEN whole[1:20] WHEN packet_id % 19 = 0 THEN '[1, 2]' WHEN packet_id % 31 = 0 THEN NULL ELSE whole END AS text FROM texts),
+parsed AS (SELECT *, CASE WHEN json_valid(text) THEN text::JSON END AS j FROM broken),
+judged AS (SELECT *, CASE WHEN text IS NULL THEN 'no text' WHEN j IS NULL THEN 'not JSON' WHEN json_type(j) <> 'OBJECT' THEN 'not an object' WHEN j->>'$.src_ip' IS NULL AND j->>'$.dst_ip' IS NULL AND j->>'$.protocol' IS NULL THEN 'no IP layer'
+  WHEN try_cast(j->>'$.timestamp' AS TIMESTAMP) IS NULL THEN 'no time' END AS reason FROM parsed)"""
 _SCORED = "packet_id, source_ip, destination_ip, packet_count, unique_ports, packet_rate, temporal_attack_density, round(behavioral_drift, 6) AS behavioral_drift, signature_score, rate_limited, trust_score, domain, round(risk_score, 6) AS risk_score, threat_level, response_action"
 _TOP = "SELECT source_ip AS key, count(*) AS n FROM {} GROUP BY source_ip ORDER BY n DESC, min(t_us * 1000000 + packet_id) LIMIT {}"
 _TYPES = "SELECT key, count(*) AS n, min(t_us * 1000000 + packet_id) AS f FROM (SELECT unnest(string_split(alert_types, ',')) AS key, t_us, packet_id FROM {} WHERE alert_types <> '') GROUP BY key"
@@ -133,6 +140,9 @@ ORACLE: dict[str, str] = {
     "stream_sessions": _with("fl", "SELECT source_ip, destination_ip, max(packet_count) AS packet_count, max(unique_ports) AS unique_ports, min(t_us) AS first_us, max(t_us) AS last_us FROM fl GROUP BY source_ip, destination_ip, session"),
     "stream_trends": _with("sc", "SELECT source_ip, count(*) AS n, round(max(risk_score), 6) AS max_risk, round(sum(risk_score), 4) AS total_risk FROM sc GROUP BY source_ip"),
     "stream_attackers": _with("lo", _TOP.format("lo", 5)),
+    "messages_packets": _with("pk", _MESSAGES + " SELECT packet_id, CASE WHEN packet_id % 23 = 0 THEN 'unknown' ELSE coalesce(nullif(j->>'$.src_ip', ''), 'unknown') END AS source_ip, coalesce(j->>'$.dst_ip', 'unknown') AS destination_ip, coalesce((j->>'$.protocol')::INT, 0) AS protocol, (j->>'$.src_port')::INT AS src_port, (j->>'$.dst_port')::INT AS dst_port, (j->>'$.packet_length')::INT AS packet_length, t_us FROM judged WHERE reason IS NULL"),
+    "messages_rejected": _with("pk", _MESSAGES + " SELECT key, text, reason FROM judged WHERE reason IS NOT NULL"),
+    "stream_messages": _with("pk", _MESSAGES + " SELECT packet_id, CASE WHEN reason IS NULL THEN source_ip END AS source_ip, CASE WHEN reason IS NULL THEN dst_port END AS dst_port, reason FROM judged"),
     "block_events": _with("pk", _RELEASES.format(" WHERE expires_us < (SELECT max(t_us) FROM l)"), _held(_BLOCKABLE, 120000000, ">") + ", " + _LEDGER),
     "stream_blocks": _with("pk", _RELEASES.format(" WHERE expires_us IS NOT NULL"), _held(_BLOCKABLE, 120000000, ">") + ", " + _LEDGER),
     "stream_block_table": _with("pk", "SELECT source_ip, arg_max(packet_id, t_us) AS packet_id, max(t_us) + 120000001 AS t_us, false AS blocked FROM l WHERE expires_us IS NOT NULL GROUP BY source_ip", _held(_BLOCKABLE, 120000000, ">") + ", " + _LEDGER),

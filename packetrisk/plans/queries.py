@@ -13,7 +13,7 @@ from packetrisk.operators import analytics, drift, events, flows, isolation_fore
 from packetrisk.operators.suppress import suppress
 from packetrisk.plans import streams
 from packetrisk.plans.score import activity, detect, score_packets
-from packetrisk.sources import event_store, mapping, training
+from packetrisk.sources import event_store, mapping, messages, training
 from packetrisk.sources.packets import flatten, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,22 @@ def flow_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("source_ip", "destination_ip", long("session"), "packet_count", long("unique_ports"), "first_us", "last_us", "active")
 
 
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The messages as a source gives them, judged."""
+    folder = streams.work_folder(spark)
+    mapping.messages(spark, sf).write.parquet(folder)
+    return messages.judged(messages.read_messages(spark, "parquet", path=folder))
+
+
+def messages_packets(spark: SparkSession, sf: str) -> DataFrame:
+    rows = messages.packets_of(_messages(spark, sf))
+    return rows.select("packet_id", "source_ip", "destination_ip", "protocol", "src_port", "dst_port", "packet_length", (F.col("t_us") - mapping.EPOCH_US).alias("t_us"))
+
+
+def messages_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    return messages.rejected_of(_messages(spark, sf))
+
+
 def _counts(name: str, seconds: int, only_foreign: bool = False) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         rows = mapping.packets(spark, sf).select("packet_id", "t_us", "source_ip")
@@ -346,5 +362,5 @@ QUERIES: dict[str, Query] = {
     "attackers": attackers, "attack_types": attack_types, "attack_hours": attack_hours, "trend_summary": trend_summary, "ip_risk_profile": ip_risk_profile, "ip_risk_top": ip_risk_top,
     "threat_table": threat_table, "geo_points": geo_points, "training_clean": training_clean, "iforest_scores": iforest_scores, "score_packets": score_all, "score_hot_sources": score_hot_sources,
     "stream_scores": stream_scores, "stream_alerts": stream_alerts, "stream_sessions": stream_sessions, "stream_trends": stream_trends, "stream_attackers": stream_attackers,
-    "block_events": block_events, "stream_blocks": stream_blocks, "stream_block_table": stream_block_table, "stream_events": stream_events,
+    "messages_packets": messages_packets, "messages_rejected": messages_rejected, "stream_messages": streams.stream_messages, "block_events": block_events, "stream_blocks": stream_blocks, "stream_block_table": stream_block_table, "stream_events": stream_events,
 }

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetrisk.operators import events
-from packetrisk.sources import event_store, mapping
+from packetrisk.sources import event_store, mapping, messages
 from packetrisk.streaming import live
 from packetrisk.streaming.hitters import top_hitters
 from packetrisk.streaming.tables import KeptTable
@@ -136,6 +136,19 @@ def stream_block_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_table(live.live_block_table(source), folder, "source_ip", ("t_us",))
 
 
+def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets and bad records of a stream of messages, parted in one pass: (packet_id, source_ip, dst_port, reason)."""
+    folder = work_folder(spark)
+    rows = mapping.messages(spark, sf_dir)
+    rows.repartition(6).write.parquet(f"{folder}/messages")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/messages")
+    sink = messages.judged(source).writeStream.foreachBatch(messages.parted_sink(f"{folder}/packets", f"{folder}/rejected")).option("checkpointLocation", f"{folder}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    bad = spark.read.parquet(f"{folder}/rejected")
+    bad = bad.select(F.col("key").cast("long").alias("packet_id"), F.lit(None).cast("string").alias("source_ip"), F.lit(None).cast("int").alias("dst_port"), "reason")
+    return spark.read.parquet(f"{folder}/packets").select("packet_id", "source_ip", "dst_port", F.lit(None).cast("string").alias("reason")).unionByName(bad)
+
+
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event store as a stream of live scores fills it."""
     folder = work_folder(spark)

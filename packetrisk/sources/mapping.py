@@ -38,6 +38,18 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest(mapped_packets(spark, sf_dir)).withColumn("t_us", F.col("t_us") - EPOCH_US)
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets as JSON texts of a message source, some of them broken: (key, value)."""
+    p = packets(spark, sf_dir)
+    number = lambda c: F.when(F.col("packet_id") % 7 == 0, F.concat(F.lit('"'), F.col(c), F.lit('"'))).otherwise(F.col(c).cast("string"))
+    address = F.when(F.col("packet_id") % 23 == 0, F.lit("")).otherwise(F.concat(F.lit('"src_ip": "'), "source_ip", F.lit('", "dst_ip": "'), "destination_ip", F.lit('", "protocol": '), number("protocol"), F.lit(", ")))
+    time = F.when(F.col("packet_id") % 29 == 0, F.lit("soon")).otherwise(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    text = F.concat(F.lit('{"packet_id": '), "packet_id", F.lit(", "), address, F.lit('"src_port": '), number("src_port"), F.lit(', "dst_port": '), number("dst_port"), F.lit(', "packet_length": '), "packet_length", F.lit(', "timestamp": "'), time, F.lit('"}'))
+    broken = F.when(F.col("packet_id") % 17 == 0, F.substring(text, 1, 20)).when(F.col("packet_id") % 19 == 0, F.lit("[1, 2]")).when(F.col("packet_id") % 31 == 0, F.lit(None))
+    whole = (F.col("packet_id") % 17 != 0) & (F.col("packet_id") % 19 != 0) & (F.col("packet_id") % 31 != 0)
+    return p.select(F.col("packet_id").cast("string").alias("key"), F.when(whole, text).otherwise(broken).alias("value"))
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     ip = F.col("src_ip")
     return mapped_packets(spark, sf_dir).where(ip.isNotNull()).select(ip.alias("ip")).distinct().withColumn("o", F.element_at(F.split("ip", r"\."), 4).cast("int"))
