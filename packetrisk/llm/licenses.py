@@ -52,15 +52,18 @@ SCHEMA = (
 
 
 class LicenseIndex:
-    """Postings of template words by position, with the IDF measured on the scanned corpus."""
+    """Postings of template words by position, with the IDF measured on the scanned corpus: 1 + log((1 + documents) / (1 + those with the word)).
+
+    No word weighs nothing, so that a notice is found where every document holds its words, too.
+    """
 
     def __init__(self, df_counts: dict[bytes, int], n_docs: int, templates=TEMPLATES, phrases=BASE_PHRASES, rarest: int = 6, share: float = 0.5):
         self.rarest, self.share = rarest, share
         self.base = [(p.encode().split(), label) for p, label in phrases.items()]
         self.templates = [(label, [k.encode().split() for k in keys], text.encode().split()) for label, keys, text in templates]
         words = {w for _, _, t in self.templates for w in t} | {w for p, _ in self.base for w in p}
-        self.idf = {w: float(np.log((1 + n_docs) / (1 + df_counts.get(w, 0)))) for w in words}
-        self.weight = [sum(self.idf[w] for w in t) or 1.0 for _, _, t in self.templates]
+        self.idf = {w: 1.0 + float(np.log((1 + n_docs) / (1 + df_counts.get(w, 0)))) for w in words}
+        self.weight = [sum(self.idf[w] for w in t) for _, _, t in self.templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         #: IDF weight of each template's words that are not indexed: less than half of the share, so no alignment that counts is missed.
         self.rest: list[float] = []
@@ -143,7 +146,7 @@ def license_word_counts(df: DataFrame, text: str, words: set[bytes]) -> tuple[di
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=BASE_PHRASES) -> DataFrame:
     """One row per input row: base phrase places, labels of base phrases and of aligned templates, best score.
 
-    A null or empty text has no words, labels "" and score 0; a null id stays null; repeated rows
+    A notice is found whatever share of the documents holds it, in a table of one row or of copies as well.  A null or empty text has no words, labels "" and score 0; a null id stays null; repeated rows
     give repeated results; other columns are ignored; an empty table gives no rows.  Two passes
     over the texts (document frequencies, then the scan); the only shuffle holds one count per license word and task.
     """

@@ -57,3 +57,17 @@ def test_no_alignment_that_counts_is_missed(index):
                 if (score := min(1.0, sum(on) / index.weight[u])) >= index.share and all(any(near[i : i + len(k)] == k for i in range(len(near))) for k in keys):
                     want[label, max(0, shift)] = max(score, want.get((label, max(0, shift)), 0.0))
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3, 100])
+def test_words_that_every_document_holds(spark, copies):
+    """A table of one row, or of copies, gets its label."""
+    rows = [(i, NOTICES["isc"]) for i in range(copies)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == copies and all(r.labels == "isc" and r.score == 1.0 and r.n_base == 0 for r in got)
+
+
+def test_null_and_repeated_rows(spark):
+    rows = [(None, "under the MIT license"), (1, "released under the mit license"), (1, "released under the mit license"), (2, None), (3, "")]
+    got = sorted(((r.doc_id, r.n_words, r.base_labels, r.labels, r.first_word) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 4, "mit", "mit", 2), (1, 5, "mit", "mit", 3), (1, 5, "mit", "mit", 3), (2, 0, "", "", None), (3, 0, "", "", None)], key=str)
