@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetrisk.llm.kneser_ney import SymbolModel
-from packetrisk.llm.store import stored
+from packetrisk.llm.store import loaded, shared_object, stored
 from packetrisk.llm.symbols import BITS, symbol_grams
 from packetrisk.llm.textops import WordHashes, column, hash_words, mix, slices, space_words, to_bytes, window_docs, window_hashes
 
@@ -114,11 +114,11 @@ def language_models(rows: DataFrame) -> LanguageModels:
 
 def text_scores(rows: DataFrame, models: LanguageModels) -> DataFrame:
     """Base counts and log-perplexity (null for an empty text) of each row of (doc_id, __lang, __text)."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+    shared = shared_object(rows.sparkSession, models)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, models = WordHashes(), shared.value
+        cache, models = WordHashes(), loaded(shared)
         table = np.zeros(1 << (ORDER * BITS), dtype=np.float32)
         for whole in batches:
             for batch in slices(whole, "__text"):

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,15 @@ def discard(*tables: DataFrame | None) -> None:
             system.delete(target, True)
 
 
+def shared_object(spark: SparkSession, value):
+    """Broadcast of an object of this package, pickled with its class, for workers that cannot import the package; ``loaded`` reads it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def loaded(shared):
+    return cloudpickle.loads(shared.value)
+
+
 def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> bool:
     """Whether ``ids`` has at most ``limit`` rows (counted, not estimated)."""
     return ids.count() <= limit

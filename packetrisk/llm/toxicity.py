@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetrisk.llm.kneser_ney import ClassModel, SharedOrders, discounts_of
-from packetrisk.llm.store import BROADCAST_IDS, small, stored
+from packetrisk.llm.store import BROADCAST_IDS, loaded, shared_object, small, stored
 from packetrisk.llm.symbols import BITS, symbol_grams
 from packetrisk.llm.textops import column, slices, to_bytes
 
@@ -74,7 +74,7 @@ class Models:
         code, plain, toxic = (table.column(c).to_numpy() for c in ("code", "plain", "toxic"))
         order = np.argsort(code)
         model = ClassModel(code[order], np.column_stack([plain[order], toxic[order]]).astype(np.float64), ORDER, self.low)
-        shared = self.counted.sparkSession.sparkContext.broadcast(model)
+        shared = shared_object(self.counted.sparkSession, model)
         if self.pieces == 1:
             self.whole = shared
         return shared
@@ -124,7 +124,7 @@ def _sums(rows: DataFrame, models: Models, piece: int, keep: list[str]) -> DataF
     shared, pieces = models.piece(piece), models.pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = loaded(shared)
         for whole in batches:
             for batch in slices(whole, "__text"):
                 codes, bounds = symbol_grams(to_bytes(column(batch, "__text")), ORDER)
