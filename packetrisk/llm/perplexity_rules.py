@@ -118,7 +118,7 @@ def text_scores(rows: DataFrame, models: LanguageModels) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, models = WordHashes(), loaded(shared)
+        cache, models = WordHashes(), loaded(shared.value, LanguageModels, SymbolModel)
         table = np.zeros(1 << (ORDER * BITS), dtype=np.float32)
         for whole in batches:
             for batch in slices(whole, "__text"):

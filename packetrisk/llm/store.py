@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,13 +77,33 @@ def discard(*tables: DataFrame | None) -> None:
             system.delete(target, True)
 
 
-def shared_object(spark: SparkSession, value):
-    """Broadcast of an object of this package, pickled with its class, for workers that cannot import the package; ``loaded`` reads it."""
-    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+def _plain(value):
+    """An object as (class name, fields), what it holds likewise; arrays, numbers and texts stay as they are."""
+    if isinstance(value, (list, tuple, dict)):
+        parts = value.items() if isinstance(value, dict) else enumerate(value)
+        return type(value).__name__, {k: _plain(v) for k, v in parts}
+    return (type(value).__name__, {k: _plain(v) for k, v in vars(value).items()}) if hasattr(value, "__dict__") else ("", value)
 
 
-def loaded(shared):
-    return cloudpickle.loads(shared.value)
+def shared_object(spark: SparkSession, value):
+    """Broadcast of an object of this package as plain arrays, for workers that cannot import the package; ``loaded`` reads it."""
+    return spark.sparkContext.broadcast(_plain(value))
+
+
+def loaded(state, *classes: type):
+    """The object of a broadcast's value, its arrays not copied; ``classes`` are those of the package in it."""
+    name, held = state
+    if not name:
+        return held
+    fields = {k: loaded(v, *classes) for k, v in held.items()}
+    if name in ("list", "tuple"):
+        return (list if name == "list" else tuple)(fields.values())
+    if name == "dict":
+        return fields
+    kind = next(c for c in classes if c.__name__ == name)
+    made = kind.__new__(kind)
+    made.__dict__.update(fields)
+    return made
 
 
 def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> bool:

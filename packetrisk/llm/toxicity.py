@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetrisk.llm.kneser_ney import ClassModel, SharedOrders, discounts_of
+from packetrisk.llm.kneser_ney import ClassModel, SharedOrders, SymbolModel, discounts_of
 from packetrisk.llm.store import BROADCAST_IDS, loaded, shared_object, small, stored
 from packetrisk.llm.symbols import BITS, symbol_grams
 from packetrisk.llm.textops import column, slices, to_bytes
@@ -124,7 +124,7 @@ def _sums(rows: DataFrame, models: Models, piece: int, keep: list[str]) -> DataF
     shared, pieces = models.piece(piece), models.pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = loaded(shared)
+        model = loaded(shared.value, ClassModel, SymbolModel)
         for whole in batches:
             for batch in slices(whole, "__text"):
                 codes, bounds = symbol_grams(to_bytes(column(batch, "__text")), ORDER)
