@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +53,7 @@ TRAINING = [
 
 #: Tags that end a text block, whole elements without main text, and containers and names of boilerplate.
 BLOCK_TAGS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-VOID_ELEMENTS = "head|script|style|noscript|template|iframe|object|svg|math|canvas|textarea|select|button|audio|video"
+VOID_ELEMENTS = "head|script|style|noscript|template|iframe|object|canvas|textarea|select|audio|video"
 BOILERPLATE_TAGS = set("nav header footer aside form menu dialog fieldset".split())
 BOILERPLATE_NAMES = set("ad ads adv advert advertisement advertising banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice gdpr newsletter subscribe signup login share sharing social related recommended popup modal overlay widget comment comments disqus respond replies toolbar pagination copyright disclaimer".split())
 #: Words that a class token may hold beside a name of boilerplate ("site-footer", "ad-slot").
@@ -61,11 +62,9 @@ CONTAINERS = set("article aside body center details dialog div dl fieldset figur
 #: Containers that do not part a block from its neighbours (the list or table around them does).
 ITEMS = set("li td tr".split())
 
-_MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{VOID_ELEMENTS})\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>|<[a-zA-Z][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_SPECIAL = re.compile("[\"'>]")
+_RAW_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in VOID_ELEMENTS.split("|")}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*?display\s*:\s*none|'[^']*?display\s*:\s*none|display:none))", re.I)
 _QUOTED = re.compile(r"(?<![\w:-])(?!style\b|aria-hidden\b)[\w:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')", re.I)
@@ -117,50 +116,113 @@ def hidden(attrs: str) -> bool:
     return bool(_HIDDEN.search(_QUOTED.sub(" ", attrs)))
 
 
+class _Tags:
+    """Reads the tags of a page from left to right, in time that grows with its length whatever is in it.
+
+    A quote in a tag hides what stands up to the next such quote.  Where that leaves the tag without an end, it ends at the next ``>``
+    instead; the places that lead to no end are remembered, so that no later tag looks beyond them again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.hopeless = page, set()
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def end(self, at: int) -> int | None:
+        """Where the tag ends whose name ends at ``at`` (after its ``>``); None if no ``>`` follows."""
+        p, passed = at, []
+        while p not in self.hopeless and p <= self.last[">"] and (m := _SPECIAL.search(self.page, p)):
+            if m[0] == ">":
+                return m.end()
+            if m.start() >= self.last[m[0]]:
+                break
+            p = self.page.index(m[0], m.end()) + 1
+            passed.append(p)
+        self.hopeless.update(passed)
+        return None if at > self.last[">"] else self.page.index(">", at) + 1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, tag in lower case, whether it ends an element, attributes); the tag is empty for other markup.
+
+        A comment, and an element without main text, is one item up to its end, or to the end of the page.
+        """
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 4)
+                at = len(page) if stop < 0 else stop + 3
+                yield start, at, "", False, ""
+                continue
+            slash = page.startswith("/", at)
+            name = _NAME.match(page, at + slash)
+            if not name:
+                if slash or page[at : at + 1] in ("!", "?"):
+                    stop = page.find(">", at) if at <= self.last[">"] else -1
+                    if stop >= 0:
+                        at = stop + 1
+                        yield start, at, "", False, ""
+                continue
+            stop = self.end(name.end())
+            if stop is None:
+                continue
+            tag, attrs, at = name[0].lower(), page[name.end() : stop - 1], stop
+            if tag in _RAW_ENDS and not slash:
+                ends = _RAW_ENDS[tag].search(page, at)
+                at = ends.end() if ends else len(page)
+                tag = ""
+            yield start, at, tag, slash, attrs
+
+
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
 def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool, int]]:
     """(text, words, linked words, in article, in boilerplate, heading, list item, container) of each block in page order."""
+    # a container: tag, article, boilerplate, list item, the container that parts its blocks from others
     blocks, run, stack, opened = [], [], [], 0
     links, at, last = 0, 0, ""
+    inside = {"article": 0, "boilerplate": 0, "item": 0}
+    depth: Counter = Counter()
 
     def close() -> None:
-        nonlocal run
         if run:
             text = _SPACE.sub(" ", entities.unescape("".join(t for t, _ in run))).strip()
             if text:
-                linked = sum(len(t.split()) for t, inside in run if inside)
-                words = len(text.split())
-                article = any(s[1] for s in stack)
-                boiler = any(s[2] for s in stack)
-                within = next((s[3] for s in reversed(stack) if s[0] not in ITEMS), 0)
-                blocks.append((text, words, min(words, linked), article, boiler, last in ("h1", "h2", "h3", "h4", "h5", "h6"), any(s[0] == "li" for s in stack), within))
-            run = []
-
-    for m in _MARKUP.finditer(page):
-        if m.start() > at:
-            run.append((page[at : m.start()], links > 0))
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            continue
+                linked, words = sum(len(t.split()) for t, link in run if link), len(text.split())
+                blocks.append((text, words, min(words, linked), inside["article"] > 0, inside["boilerplate"] > 0, last in HEADINGS, inside["item"] > 0, stack[-1][4] if stack else 0))
+            run.clear()
+
+    def count(entry: tuple, by: int) -> None:
+        depth[entry[0]] += by
+        for what, holds in zip(inside, entry[1:4]):
+            inside[what] += by if holds else 0
+
+    for start, end, tag, ends, attrs in _Tags(page):
+        if start > at:
+            run.append((page[at:start], links > 0))
+        at = end
         if tag == "a":
-            links = max(0, links + (-1 if m["end"] else 1))
+            links = max(0, links + (-1 if ends else 1))
         elif tag == "br":
             run.append((" ", False))
-        if tag in BLOCK_TAGS:
-            close()
-            links = 0
-            last = "" if m["end"] else tag
-            if tag in CONTAINERS:
-                if m["end"]:
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == tag:
-                            del stack[i:]
-                            break
-                elif not m["attrs"].endswith("/"):
-                    main = tag in ("article", "main")
-                    boiler = tag in BOILERPLATE_TAGS or bool(m["attrs"]) and (hidden(m["attrs"]) or not main and named_boilerplate(m["attrs"]))
-                    opened += 1
-                    stack.append((tag, main, boiler and tag != "body", opened))
+        if tag not in BLOCK_TAGS:
+            continue
+        close()
+        links, last = 0, "" if ends else tag
+        if tag not in CONTAINERS:
+            continue
+        if not ends and not attrs.endswith("/"):
+            main = tag in ("article", "main")
+            boiler = tag in BOILERPLATE_TAGS or bool(attrs) and (hidden(attrs) or not main and named_boilerplate(attrs))
+            opened += 1
+            stack.append((tag, main, boiler and tag != "body", tag == "li", (stack[-1][4] if stack else 0) if tag in ITEMS else opened))
+            count(stack[-1], 1)
+        elif ends and depth[tag]:
+            while True:
+                entry = stack.pop()
+                count(entry, -1)
+                if entry[0] == tag:
+                    break
     if at < len(page):
         run.append((page[at:], links > 0))
     close()
@@ -182,8 +244,9 @@ def main_text(page: str, tree) -> str:
 def extract_main_text(df: DataFrame, html: str = "html") -> DataFrame:
     """``df`` without its html column but with ``text`` (the main text, "" if none) and ``n_chars`` (its code points).
 
-    A null or empty page, and a page of boilerplate only, has the text "".  Unclosed tags,
-    comments and quotes end at the end of the page.  Existing columns named text or n_chars are
+    A null or empty page, and a page of boilerplate only, has the text "".  Unclosed elements and comments
+    end at the end of the page; a tag whose quotes leave it without an end goes up to the next ``>``, and a ``<`` that no ``>``
+    follows is text.  Time grows with the length of a page, whatever is in it.  Existing columns named text or n_chars are
     replaced; all others pass through; repeated rows stay.  One pass over the rows, no shuffle.
     """
     tree = trained_tree()
