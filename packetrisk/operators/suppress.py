@@ -35,17 +35,36 @@ def _runs(batch: pa.RecordBatch, by: list[str], time: str) -> Iterator[tuple[tup
             yield keys[a], begin, b, times[begin:b]
 
 
-def _exits(times: np.ndarray, begin: int, hold: int, inclusive: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Where a chunk's first emitted time leads: sorted (latest first time, last emitted time) of each way through the chunk."""
-    times = np.unique(times)
-    after = np.searchsorted(times, times + hold, side="left" if inclusive else "right")
-    way = np.where(after < len(times), after, np.arange(len(times)))
-    while not np.array_equal(further := way[way], way):
-        way = further
-    first = min(len(times), int(np.searchsorted(times, begin + hold, side="right")) + 1)
-    starts, ends = times[:first], times[way[:first]]
-    last = np.append(ends[1:] != ends[:-1], True)
-    return starts[last], ends[last]
+class _Ways:
+    """Where a chunk's first emitted time leads: its sorted times are added part by part, and only the ways are held.
+
+    ``starts`` and ``ends``: the latest first time and the last emitted time of each way through the chunk; at most one for each time in
+    its first hold, since the row before the chunk holds back no longer than that.
+    """
+
+    def __init__(self, begin: int, hold: int, inclusive: bool):
+        self.limit, self.hold, self.side = begin + hold, hold, "left" if inclusive else "right"
+        self.starts = self.ends = np.empty(0, dtype=np.int64)
+        self.open = True
+
+    def add(self, times: np.ndarray) -> None:
+        times = np.unique(times)
+        after = np.searchsorted(times, times + self.hold, side=self.side)
+        way = np.where(after < len(times), after, np.arange(len(times)))
+        while not np.array_equal(further := way[way], way):
+            way = further
+        at = np.searchsorted(times, self.ends + self.hold, side=self.side)
+        ends = np.where(at < len(times), times[way[np.minimum(at, len(times) - 1)]], self.ends)
+        starts = self.starts
+        if self.open:
+            # up to the first time that any row before the chunk lets through
+            first = min(len(times), int(np.searchsorted(times, self.limit, side="right")) + 1)
+            new = times[:first]
+            fresh = slice(1, None) if len(starts) and first and new[0] == starts[-1] else slice(None)
+            starts, ends = np.append(starts, new[fresh]), np.append(ends, times[way[:first]][fresh])
+            self.open = times[-1] <= self.limit
+        last = np.append(ends[1:] != ends[:-1], True)
+        self.starts, self.ends = starts[last], ends[last]
 
 
 def _entries(dealt: DataFrame, key: str, time: str, hold: int, inclusive: bool, chunk: int) -> DataFrame:
@@ -55,23 +74,22 @@ def _entries(dealt: DataFrame, key: str, time: str, hold: int, inclusive: bool,
     """
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, ways = None, None
 
         def close() -> pa.RecordBatch:
-            starts, ends = _exits(np.concatenate(held), now[1] * chunk, hold, inclusive)
-            arrays = [pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int64()), pa.array([starts], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64()))]
+            arrays = [pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int64()), pa.array([ways.starts], pa.list_(pa.int64())), pa.array([ways.ends], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(arrays, names=["key", "chunk", "starts", "ends"])
 
         for batch in batches:
             for group, _, _, times in _runs(batch, [key, "__chunk"], time):
                 if group[1] is None:
                     continue
-                if held and group != now:
-                    yield close()
-                    held.clear()
-                now = group
-                held.append(np.unique(times))
-        if held:
+                if group != now:
+                    if ways is not None:
+                        yield close()
+                    now, ways = group, _Ways(group[1] * chunk, hold, inclusive)
+                ways.add(times)
+        if ways is not None:
             yield close()
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -137,6 +137,7 @@ ORACLE: dict[str, str] = {
     "score_hot_sources": _with("sc", f"SELECT {_SCORED} FROM sc"),
     "stream_scores": _with("sc", f"SELECT {_SCORED} FROM sc"),
     "stream_alerts": _with("sc", "SELECT packet_id, source_ip, threat_level, round(risk_score, 6) AS risk_score FROM sc WHERE packet_id IN (SELECT packet_id FROM h WHERE emitted)", _held("(SELECT * FROM sc WHERE threat_level IN ('HIGH', 'CRITICAL'))", 30000000, ">=")),
+    "stream_stored_alerts": _with("sc", "SELECT packet_id, source_ip, threat_level, round(risk_score, 6) AS risk_score FROM sc WHERE packet_id IN (SELECT packet_id FROM h WHERE emitted)", _held("(SELECT * FROM sc WHERE threat_level IN ('HIGH', 'CRITICAL'))", 30000000, ">=")),
     "stream_sessions": _with("fl", "SELECT source_ip, destination_ip, max(packet_count) AS packet_count, max(unique_ports) AS unique_ports, min(t_us) AS first_us, max(t_us) AS last_us FROM fl GROUP BY source_ip, destination_ip, session"),
     "stream_trends": _with("sc", "SELECT source_ip, count(*) AS n, round(max(risk_score), 6) AS max_risk, round(sum(risk_score), 4) AS total_risk FROM sc GROUP BY source_ip"),
     "stream_attackers": _with("lo", _TOP.format("lo", 5)),

@@ -322,6 +322,10 @@ def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return streams.stream_alerts(spark, sf).select("packet_id", "source_ip", "threat_level", r6("risk_score"))
 
 
+def stream_stored_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.stream_stored_alerts(spark, sf).select("packet_id", "source_ip", "threat_level", r6("risk_score"))
+
+
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return streams.stream_sessions(spark, sf).select("source_ip", "destination_ip", "packet_count", "unique_ports", "first_us", "last_us")
 
@@ -361,6 +365,6 @@ QUERIES: dict[str, Query] = {
     "events_roundtrip": events_roundtrip, "events_count": events_count, "events_clear": events_clear, "alerts": alerts, "cooldown": cooldown, "block_ledger": block_ledger, "block_status": block_status,
     "attackers": attackers, "attack_types": attack_types, "attack_hours": attack_hours, "trend_summary": trend_summary, "ip_risk_profile": ip_risk_profile, "ip_risk_top": ip_risk_top,
     "threat_table": threat_table, "geo_points": geo_points, "training_clean": training_clean, "iforest_scores": iforest_scores, "score_packets": score_all, "score_hot_sources": score_hot_sources,
-    "stream_scores": stream_scores, "stream_alerts": stream_alerts, "stream_sessions": stream_sessions, "stream_trends": stream_trends, "stream_attackers": stream_attackers,
+    "stream_scores": stream_scores, "stream_alerts": stream_alerts, "stream_stored_alerts": stream_stored_alerts, "stream_sessions": stream_sessions, "stream_trends": stream_trends, "stream_attackers": stream_attackers,
     "messages_packets": messages_packets, "messages_rejected": messages_rejected, "stream_messages": streams.stream_messages, "block_events": block_events, "stream_blocks": stream_blocks, "stream_block_table": stream_block_table, "stream_events": stream_events,
 }

@@ -74,7 +74,14 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores to a sink, and alerts from a stream over that sink."""
+    """Alerts of the packets, in one streaming query: activity, scores and cooldown."""
+    folder = work_folder(spark)
+    scores = live.live_scores(replay(spark, sf_dir, folder), mapping.rdns(spark, sf_dir))
+    return drain(live.alerts_of_scores(scores), folder, "alerts").where("source_ip <> 'sentinel'")
+
+
+def stream_stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of stored scores, read as a stream in any order."""
     folder = work_folder(spark)
     scores = drain(live.live_scores(replay(spark, sf_dir, folder), mapping.rdns(spark, sf_dir)), folder, "scores")
     far = scores.limit(1).withColumns({"source_ip": F.lit("sentinel"), "threat_level": F.lit("CRITICAL"), "timestamp": F.timestamp_micros(F.lit(mapping.EPOCH_US + FAR)), "t_us": F.lit(FAR).cast("long")})

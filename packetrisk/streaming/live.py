@@ -321,6 +321,38 @@ def live_scores(packets: DataFrame, rdns: DataFrame, delay: str = "5 seconds", c
     return assess(with_trust(detect(df, config), rdns), config)
 
 
+class OrderedCooldownProcessor(StatefulProcessor):
+    """The cooldown of rows that come in order by source, as the live scores do: its state is the last alert's time."""
+
+    config: RiskConfig = DEFAULTS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "t_us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, out = self.last.get()[0] if self.last.exists() else None, []
+        for r in pd.concat(list(rows)).sort_values(["t_us", "packet_id"]).itertuples(index=False):
+            if last is None or r.t_us - last >= self.config.alert_cooldown_s * 1_000_000:
+                last = r.t_us
+                out.append({"source_ip": key[0], "packet_id": r.packet_id, "t_us": r.t_us, "threat_level": r.threat_level, "risk_score": r.risk_score})
+        if out:
+            self.last.update((int(last),))
+            yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def alerts_of_scores(scores: DataFrame) -> DataFrame:
+    """Alerts within the query that makes the live scores, from the rows as it hands them on: in order of time for each source.
+
+    A source that has had an alert keeps one number.  For scores from elsewhere, in any order, see ``live_alerts``.
+    """
+    rows = alert_candidates(scores).select("packet_id", "t_us", "source_ip", "threat_level", "risk_score")
+    schema = "source_ip string, packet_id long, t_us long, threat_level string, risk_score double"
+    return rows.groupBy("source_ip").transformWithStateInPandas(statefulProcessor=OrderedCooldownProcessor(), outputStructType=schema, outputMode="append", timeMode="none")
+
+
 def live_alerts(scored: DataFrame, delay: str = "5 seconds") -> DataFrame:
     """Alerts of a stream of scored rows."""
     rows = alert_candidates(scored).select("packet_id", "t_us", "timestamp", "source_ip", "threat_level", "risk_score")

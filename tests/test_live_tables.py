@@ -13,7 +13,7 @@ from packetrisk.operators import response
 from packetrisk.plans.streams import drain, kept_table
 from packetrisk.sources import event_store
 from packetrisk.streaming.hitters import HITTERS, HittersProcessor, heavy_hitters, merged, top_hitters
-from packetrisk.streaming.live import BlockProcessor, live_blocks
+from packetrisk.streaming.live import BlockProcessor, OrderedCooldownProcessor, live_blocks
 from packetrisk.streaming.tables import KeptTable
 from tests.test_live_state import Clock, Handle, started
 
@@ -221,3 +221,11 @@ def test_releases_by_then(spark):
     got = {(r.packet_id, r.t_us, r.status) for r in response.block_events(ledger, 120 * S + 1).collect()}
     assert got == {(1, 0, "Blocked IP: a"), (1, 120 * S + 1, "Released IP: a"), (2, 5, "Already Blocked"), (3, 50 * S, "Blocked IP: b")}
     assert len(response.block_events(ledger, 120 * S).collect()) == 3
+
+
+def test_cooldown_of_rows_in_order():
+    processor, handle = OrderedCooldownProcessor(), Handle()
+    processor.init(handle)
+    frame = lambda *seconds: pd.DataFrame([{"packet_id": i, "t_us": s * S, "threat_level": "HIGH", "risk_score": 80.0} for i, s in enumerate(seconds)])
+    out = [r.t_us // S for rows in ([frame(40, 10, 39), frame(41)], [frame(69, 70, 100)], [frame(101)]) for x in processor.handleInputRows(("a",), iter(rows), None) for r in x.itertuples()]
+    assert out == [10, 40, 70, 100] and handle.states["last"].data == (100 * S,)

@@ -61,3 +61,26 @@ def test_a_busy_key_is_spread(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(sizes[0]) == 1 and len(sizes[1]) > 2 and sizes[1][-1] < 0.6 * 4000
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_ways_part_by_part(inclusive):
+    """The ways through a chunk are those of all its times at once, however they come, and few are held."""
+    import numpy as np
+
+    from packetrisk.operators.suppress import _Ways, emitted
+
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        hold, begin = int(rng.integers(1, 40)), 1000
+        times = np.sort(rng.integers(begin, begin + 8 * hold, int(rng.integers(1, 120))))
+        whole, parts = _Ways(begin, hold, inclusive), _Ways(begin, hold, inclusive)
+        whole.add(times)
+        for part in np.split(times, np.sort(rng.integers(0, len(times), 5))):
+            if len(part):
+                parts.add(part)
+        assert whole.starts.tolist() == parts.starts.tolist() and whole.ends.tolist() == parts.ends.tolist() and len(parts.starts) <= hold + 2
+        for last in range(begin - hold - 2, begin):
+            flags = emitted(times, hold, inclusive, last)
+            at = int(np.searchsorted(parts.starts, last + hold, side="left" if inclusive else "right"))
+            assert (parts.ends[at] if at < len(parts.ends) else last) == (times[flags][-1] if flags.any() else last)
