@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FEATURES = ["packet_count", "protocol", "src_port", "dst_port"]
+#: The scale of each feature.
 SCALES = {"packet_count": 100.0, "protocol": 255.0, "src_port": 65535.0, "dst_port": 65535.0}
 
 
