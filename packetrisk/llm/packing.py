@@ -8,7 +8,7 @@ so that neighbours on the curve share sequences.
 from __future__ import annotations
 
 import os
-import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -28,26 +28,41 @@ RANGE_BYTES = 24 << 20
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 
-_SIGNS = np.random.default_rng(11).standard_normal((1024, DIMENSIONS)).astype(np.float32)
+_SIGNS = np.random.default_rng(11).standard_normal((1024, DIMENSIONS))
 
 
 def project(texts: list[bytes]) -> np.ndarray:
     """Mean projection of each text's hashed byte 4-grams to DIMENSIONS numbers; zero for texts under 4 bytes."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    bounds = np.append(0, np.cumsum(sizes))
     out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
-    raw = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.uint32)
-    if len(raw) < 4:
-        return out
-    code = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
-    slot = (code * np.uint32(2654435761)) >> np.uint32(22)
-    full = np.flatnonzero(sizes >= 4)
-    for d in range(DIMENSIONS):
-        total = np.append(0.0, np.cumsum(_SIGNS[:, d][slot], dtype=np.float64))
-        out[full, d] = (total[bounds[full + 1] - 3] - total[bounds[full]]) / (sizes[full] - 3)
+    full = [i for i, t in enumerate(texts) if len(t) >= 4]
+    for block in _blocks(full, texts):
+        raw, counts, at = b"".join([texts[i] for i in block]), np.empty((len(block), len(_SIGNS))), 0
+        code = np.empty(len(raw) - 3, dtype=np.uint32)
+        for o in range(4):
+            code[o::4] = np.frombuffer(raw, dtype="<u4", offset=o, count=(len(raw) - o) // 4)
+        code *= np.uint32(2654435761)
+        code >>= np.uint32(22)
+        slot = code.astype(np.intp)
+        for row, i in enumerate(block):
+            counts[row] = np.bincount(slot[at : at + len(texts[i]) - 3], minlength=len(_SIGNS))
+            at += len(texts[i])
+        out[block] = counts @ _SIGNS / counts.sum(axis=1, keepdims=True)
     return out
 
 
+def _blocks(rows: list[int], texts: list[bytes], size: int = 128 << 10, many: int = 128) -> Iterator[list[int]]:
+    """Runs of ``rows`` that fit a processor's cache: about ``size`` bytes of text, at most ``many`` texts."""
+    block, held = [], 0
+    for i in rows:
+        if block and (held + len(texts[i]) > size or len(block) == many):
+            yield block
+            block, held = [], 0
+        block.append(i)
+        held += len(texts[i])
+    if block:
+        yield block
+
+
 def hilbert_key(cells: np.ndarray, bits: int = LEVELS) -> np.ndarray:
     """Position along the Hilbert curve of integer cells (rows), by the transpose form of the curve's definition."""
     x = cells.astype(np.int64).T.copy()
@@ -120,7 +135,7 @@ class ChunkIds(dict):
     """
 
     LIMIT = 700_000
-    MARKS = re.compile(r"(\w+?)([!-&(-/:-@\[-^`{-~]+)")
+    MARKS = "".join(c for c in string.punctuation if c not in "'_")
 
     def __init__(self, path: str):
         super().__init__()
@@ -148,20 +163,25 @@ class ChunkIds(dict):
             self.update((w, raw[p:q]) for w, p, q in zip(group, edges, edges[1:]))
 
     def fill(self, texts: list[list[str]]) -> None:
-        if len(self) > self.LIMIT:
+        asked = set().union(*texts)
+        if len(self) > self.LIMIT:  # what these texts ask for again stays
+            kept = {item: self[item] for item in asked if item in self}
             self.clear()
+            self.update(kept)
         words, rest, parted = set(), set(), []
-        for item in set().union(*texts) - self.keys():
+        # item by item: a set less the keys would go through all keys
+        for item in [item for item in asked if item not in self]:
             if item.isalpha():
                 words.add(item)
-            elif (m := self.MARKS.fullmatch(item)) and m[1].isalpha():
-                parted.append((item, m[1], m[2]))
-                words.add(m[1])
-                rest.add(m[2])
+            elif (word := item.rstrip(self.MARKS)).isalpha():
+                marks = item[len(word) :]
+                parted.append((item, word, marks))
+                words.add(word)
+                rest.add(marks)
             else:
                 rest.add(item)
-        self._encode_words(list(words - self.keys()))
-        self._encode(list(rest - self.keys()))
+        self._encode_words([w for w in words if w not in self])
+        self._encode([r for r in rest if r not in self])
         for item, word, marks in parted:
             self[item] = self[word] + self[marks]
 
