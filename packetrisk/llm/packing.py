@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetrisk.llm.store import pieces
+from packetrisk.llm.store import discard, stored
 from packetrisk.llm.textops import column, kept_in_worker, mix, slices, to_bytes
 
 DIMENSIONS, LEVELS = 3, 10
-#: Documents whose points set the cells of the curve and the ranges of partitions (never which documents are packed).
-SAMPLE = 20_000
+_AXES = [f"x{d}" for d in range(DIMENSIONS)]
 #: Bytes of text of one range.
 RANGE_BYTES = 24 << 20
+#: Parts of a range whose bytes are summed to place its bounds.
+FINE = 16
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 
@@ -90,7 +91,7 @@ def hilbert_key(cells: np.ndarray, bits: int = LEVELS) -> np.ndarray:
     return key
 
 
-def curve_keys(points: np.ndarray, cuts: np.ndarray, tie: np.ndarray) -> np.ndarray:
+def curve_keys(points: np.ndarray, cuts: list[np.ndarray], tie: np.ndarray) -> np.ndarray:
     """Hilbert key of points in the cells between each dimension's cut values, with 32 bits of tie order below it."""
     cells = np.column_stack([np.searchsorted(cuts[d], points[:, d], side="right") for d in range(DIMENSIONS)])
     return hilbert_key(cells) << 32 | tie
@@ -102,28 +103,63 @@ def _ties(batch: pa.RecordBatch) -> np.ndarray:
     return (mix(ids.view(np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 
-def curve_cells(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cut values of each dimension (equally filled cells) and key bounds of ``ranges`` ranges, from a bounded sample."""
-    total = max(1, docs.count())
+def _points(docs: DataFrame) -> DataFrame:
+    """The point, tie order and bytes of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__text"):
                 texts = to_bytes(column(batch, "__text"))
                 points = project(texts)
-                yield pa.RecordBatch.from_arrays([*(pa.array(points[:, d]) for d in range(DIMENSIONS)), pa.array(_ties(batch)), pa.array([len(t) for t in texts], pa.int64())], names=[*(f"x{d}" for d in range(DIMENSIONS)), "tie", "size"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(points[:, d]) for d in range(DIMENSIONS)), pa.array(_ties(batch)), pa.array([len(t) for t in texts], pa.int64())], names=[*_AXES, "tie", "size"])
 
-    sample = docs if total <= SAMPLE else docs.sample(fraction=SAMPLE / total, seed=5)
-    names = ", ".join(f"x{d} float" for d in range(DIMENSIONS))
-    table = sample.select("doc_id", "__text").mapInArrow(run, f"{names}, tie long, size long").limit(2 * SAMPLE).toArrow()
-    points = np.column_stack([table.column(f"x{d}").to_numpy() for d in range(DIMENSIONS)]).reshape(-1, DIMENSIONS)
-    share = np.arange(1, 1 << LEVELS) / (1 << LEVELS)
-    cuts = np.array([np.quantile(points[:, d], share) if len(points) else share for d in range(DIMENSIONS)])
-    keys = curve_keys(points, cuts, table.column("tie").to_numpy())
-    order = np.argsort(keys)
-    weight = np.cumsum(table.column("size").to_numpy()[order] + 64)
-    at = np.searchsorted(weight, np.arange(1, ranges) / ranges * (weight[-1] if len(weight) else 1))
-    return cuts, np.unique(keys[order][np.minimum(at, len(keys) - 1)]) if len(keys) else np.empty(0, dtype=np.int64)
+    return docs.mapInArrow(run, ", ".join(f"{x} float" for x in _AXES) + ", tie long, size long")
+
+
+def _quantiles(df: DataFrame, columns: list[str], parts: int) -> list[np.ndarray]:
+    """Values that cut each column into ``parts`` parts of nearly equally many rows, from all rows; none of an empty table."""
+    found = df.approxQuantile(columns, (np.arange(1, parts) / parts).tolist(), 1 / (4 * parts))
+    return [np.array(f, dtype=np.float64) for f in found]
+
+
+def curve_cells(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
+    """Cut values of each dimension (equally filled cells) and bounds of key ranges of about ``range_bytes`` bytes of text.
+
+    Both come from the points of all documents, a small table that is read a few times and deleted.  What reaches the driver is
+    the cuts and, for each range, FINE parts and their bytes.
+    """
+    points = stored(_points(docs))
+    cuts = _quantiles(points, _AXES, 1 << LEVELS)
+    ranges = max(1, -(-(points.agg(F.sum("size")).first()[0] or 0) // range_bytes))
+
+    def keys_of(batch: pa.RecordBatch) -> np.ndarray:
+        return curve_keys(np.column_stack([column(batch, x).to_numpy() for x in _AXES]), cuts, column(batch, "tie").to_numpy())
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(keys_of(batch))], names=["key"])
+
+    edges = np.empty(0, dtype=np.int64)
+    if ranges > 1:
+        edges = np.unique(_quantiles(points.mapInArrow(keyed, "key long"), ["key"], FINE * ranges)[0].astype(np.int64))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.zeros(len(edges) + 1, dtype=np.int64)
+        for batch in batches:
+            np.add.at(weight, np.searchsorted(edges, keys_of(batch), side="right"), column(batch, "size").to_numpy() + 64)
+        part = np.flatnonzero(weight)
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(weight[part])], names=["part", "weight"])
+
+    bounds = edges
+    if len(edges):
+        weight = np.zeros(len(edges) + 1, dtype=np.int64)
+        for part, n in points.mapInArrow(weighed, "part long, weight long").groupBy("part").agg(F.sum("weight")).collect():
+            weight[part] = n
+        filled = np.cumsum(weight)
+        last = np.searchsorted(filled, np.arange(1, ranges) / ranges * filled[-1])
+        bounds = np.unique(edges[last[last < len(edges)]])
+    discard(points)
+    return cuts, bounds
 
 
 class ChunkIds(dict):
@@ -223,14 +259,15 @@ def pack_documents(df: DataFrame, size: int = 2048, tokenizer: str | None = None
     range.  A row with a null id is packed like any other; repeated rows are packed each; other columns are
     ignored; an empty table gives no rows.  ``tokenizer`` is the vocabulary file.
 
-    One shuffle of the texts, by key range; a range's documents pass through its task as a stream.
+    One shuffle of the texts, by key range; a range's documents pass through its task as a stream.  Cells and ranges are placed by a
+    pass over all documents before it.
     """
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path(TOKENIZER)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    cuts, bounds = curve_cells(docs, pieces(docs, "__text", RANGE_BYTES, 1))
+    cuts, bounds = curve_cells(docs)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -1,9 +1,32 @@
-"""The projection of the packing; the cache of token ids keeps what is asked for again."""
+"""Cells and key ranges of the packing come from all documents; the cache of token ids keeps what is asked for again."""
+
+import random
 
 import numpy as np
+import pytest
+
 from packetrisk.llm import packing
 
 
+def test_cells_and_ranges_see_every_document(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(("lorem", "ipsum", "dolor", "aus", "und")) for _ in range(rng.randrange(20, 300 if i % 10 else 3000))) for i in range(600)] + ["", "abc", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, __text string").repartition(7)
+    monkeypatch.setattr(type(docs), "sample", lambda *_, **__: pytest.fail("a sample of the documents"))
+    monkeypatch.setattr(packing, "SAMPLE", 10, raising=False)
+    cuts, bounds = packing.curve_cells(docs, 50_000)
+    held = [(t or "").encode() for t in texts]
+    points = packing.project(held)
+    for d, cut in enumerate(cuts):
+        assert np.abs(np.searchsorted(np.sort(points[:, d]), cut) / len(points) - np.arange(1, 1024) / 1024).max() < 0.01
+    ties = (packing.mix(np.arange(len(texts), dtype=np.uint64)) >> np.uint64(32)).astype(np.int64)
+    part = np.searchsorted(bounds, packing.curve_keys(points, cuts, ties), side="right")
+    filled = np.bincount(part, weights=[len(t) for t in held])
+    assert len(filled) == -(-sum(map(len, held)) // 50_000) and filled.min() > 25_000 and filled.max() < 75_000
+    cuts, bounds = packing.curve_cells(docs.limit(0), 50_000)
+    assert len(bounds) == 0
+
+
 def test_projection_is_the_mean_of_the_grams(spark):
     text = "ab cdé\n" * 9
     raw = text.encode()
