@@ -32,3 +32,12 @@ def test_sessions_of_many_batches(spark, small, tmp_path, monkeypatch, late):
     rows = lambda df: sorted(map(tuple, df.collect()))
     same = rows(got.select("source_ip", "destination_ip", "first_us", "packet_count")) == rows(want)
     assert same is not late and mapping.packets(spark, small).count() == 1000
+
+
+def test_totals_do_not_depend_on_the_batches(spark, tmp_path):
+    """As doubles 0.1 + 0.2 + 0.3 is 0.6000000000000001 in one order and 0.6 in the other; over many rows such parts reach the digits shown."""
+    for value in (0.1, 0.2, 0.3):
+        spark.createDataFrame([("a", value)], "source_ip string, risk_score double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    streams._in_turn(spark, sorted(streams._parts(spark, str(tmp_path / "in")), key=lambda f: spark.read.parquet(f).first().risk_score))
+    stream = spark.readStream.schema("source_ip string, risk_score double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert [tuple(r) for r in streams.kept_table(live.live_trends(stream), str(tmp_path), "source_ip").collect()] == [("a", 3, 0.3, 0.6)]
